@@ -146,23 +146,29 @@ def shingles(texts: Texts, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     words = hash_spans(texts.data, starts, ends)
     n_words = np.diff(first)
     full = window_hashes(words, k)
-    at = np.arange(len(full))
-    row = row_of(first)
-    ok = at + k <= first[1:][row[: len(full)]]
-    h, r = full[ok], row[: len(full)][ok]
+    row = row_of(first)[: len(full)]
+    ok = np.arange(len(full)) + k <= first[1:][row]
+    h, size = full[ok], np.maximum(n_words - k + 1, 0)
     short = np.flatnonzero((n_words > 0) & (n_words < k))
     if len(short):
         hs = np.zeros(len(short), dtype=U64)
         for j in range(k - 1):
             has = n_words[short] > j
             hs[has] = hs[has] * _C1 + words[first[short[has]] + j]
-        h, r = np.concatenate([h, mix(hs + n_words[short].astype(U64))]), np.concatenate([r, short])
-    order = np.lexsort((h, r))
-    h, r = h[order], r[order]
+        h = np.insert(h, (np.cumsum(size) - size)[short], mix(hs + n_words[short].astype(U64)))
+        size[short] = 1
+    return distinct_in_rows(h, np.concatenate([[0], np.cumsum(size)]))
+
+
+def distinct_in_rows(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts the values of each row and leaves out repeated ones."""
+    h = h.copy()
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        h[a:b].sort()
     new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-    h, r = h[new], r[new]
-    return h, np.searchsorted(r, np.arange(len(texts) + 1))
+    new[1:] = h[1:] != h[:-1]
+    new[first[:-1][first[:-1] < len(h)]] = True
+    return h[new], np.concatenate([[0], np.cumsum(new)])[first]
 
 
 def ragged(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -43,3 +43,79 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = substring_dedup(table(spark, sf_dir, "documents"), min_words=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+_WORDS = r"regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')"
+
+
+@query()
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tandem.llm.ngram_join import ngram_components
+
+    return ngram_components(table(spark, sf_dir, "documents"), k=5, percent=80)
+
+
+@query()
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tandem.llm.language_id import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query()
+def op5_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    from tandem.llm.byte_bpe import decode, encode
+
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query(r"""
+with s as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+t as (select source, sum(size)::bigint as source_size from s group by source),
+w as (select *, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as weight,
+    3 * source_size as most, sum(source_size) over () as total from t),
+l as (select *, most / weight as fill, (total - coalesce(sum(most) over (order by most / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))::double
+    / sum(weight) over (order by most / weight, source nulls last rows between current row and unbounded following)::double as level from w),
+f as (select arg_min(level, rn) as level from (select level, row_number() over (order by fill, source nulls last) as rn from l where level * weight <= most)),
+g as (select source, source_size, least(most::double, f.level * weight) as target from l, f),
+r as (select s.*, g.source_size, target, case when g.source_size > 0 then target / g.source_size else 0 end as rate,
+    ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, 'null')), 1, 8))::bigint / 4294967296.0::double as u from s join g on s.source is not distinct from g.source)
+select doc_id, size, source_size, target, (size * (floor(rate)::bigint + case when u < rate - floor(rate) then 1 else 0 end))::bigint as taken from r
+""")
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tandem.llm.mixing import decisions
+
+    return decisions(table(spark, sf_dir, "documents")).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query()
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tandem.llm.fingerprints import edits
+
+    return edits(table(spark, sf_dir, "documents"))
+
+
+@query(r"""
+with crc as (select list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i::bigint, range(0, 8)::bigint[]), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as tab),
+d as (select doc_id, coalesce(text, '') as text, hex(coalesce(text, '')) as h from documents),
+s as (select doc_id, (strlen(text) + 16)::bigint as size, xor(4294967295, list_reduce(list_prepend(4294967295::bigint,
+    list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])))::bigint as text_crc32 from d, crc),
+p as (select *, sum(size) over (order by doc_id nulls first, size, text_crc32 rows unbounded preceding) - size as start, sum(size) over () as total from s),
+q as (select *, least(39, floor((2 * start + size) * 40 / (2 * total)::double))::int as shard from p)
+select doc_id, size, text_crc32, 'bytes' as law, shard, (row_number() over (partition by shard order by doc_id nulls first, size, text_crc32) - 1)::int as slot, null::int as grown_shard from q
+""")
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tandem.llm.sharding import shards
+
+    out = shards(table(spark, sf_dir, "documents"), n_shards=40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -22,7 +22,7 @@ from tandem.llm import kernels as K
 from tandem.llm.common import arrow_map, int_lists, list_values
 from tandem.llm.pretokens import distinct_pieces, piece_starts
 
-CACHE = 400_000
+CACHE = 200_000
 
 
 class PerfectHash:

@@ -35,6 +35,7 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: lineage ends there, lost executors don't matter."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner free the shuffle files of what has just ended
     return spark.read.schema(df.schema).parquet(path)
 
 

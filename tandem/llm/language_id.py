@@ -225,8 +225,11 @@ def held_out(doc_id: Column) -> Column:
 def accepted_only(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` without the rows that the model rejects, columns unchanged; the rest as in :func:`identify`.
 
-    The decision is made beside the row, so no text is shuffled and rows without an id are judged too.
+    The decision is made beside the row, so no text is shuffled and rows without an id are judged too.  Without a model nothing
+    is judged and all rows stay.
     """
+    if model is None:
+        return docs
     at = docs.sparkSession.sparkContext.broadcast(model)
     predict, names = _predict(at), docs.columns
 

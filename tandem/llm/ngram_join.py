@@ -8,11 +8,13 @@ Texts with A-Z in lower case are sets of word shingles.  Two link when ``100 * |
 * **Prefixes.**  Of n shingles a partner must share ``a = ceil(percent * n / 100)``.  So the first ``n - a + l`` of both
   sides share at least ``l`` (with each side's own ``l``, the smaller).  ``l = 1`` is the plain prefix filter.  Each document
   takes the ``l`` of least estimated cost: places on the lists of its prefix, plus candidates, at most places / ``l``.
+* **Matches.**  Beyond the prefixes a pair can share no more than the longer of the two rests, so a link takes
+  ``c >= max(min(l), ceil(percent * (n + n') / (100 + percent)) - max(a - l, a' - l'))`` shared prefix shingles.
 * **Links.**  Equal sets are one node from the start: a list has a node once however many copies there are.  Each list
-  first pairs its nodes with one of them only (of four that take turns by shingle); these pairs are verified and give
-  components.  Then pairs of one list whose nodes are still in *different* components are made, counted over their lists,
-  held against ``min(l)``, verified, and joined to the components.  A pair within a component needs no check: a link
-  inside it changes nothing.  So no link is lost, while a group of n near copies costs n pairs and not n * n.
+  first pairs its nodes with its least one only; pairs with enough matches are verified and give components.  Then pairs of
+  one list whose nodes are still in *different* components are made, counted over their lists, held against the matches
+  that a link takes, verified, and joined to the components.  A pair within a component needs no check: a link inside it
+  changes nothing.  So no link is lost, while a group of n near copies costs n pairs and not n * n.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from tandem.llm.components import connected_components
 #: Most entries of the table of frequent shingles.
 HEAVY = 1 << 18
 #: Least count of a shingle among one task's documents for the estimate.
-LOCAL = 4
+LOCAL = 2
 #: Texts (bytes) over which a task adds up its counts before it gives them out.
 FLUSH = 48 << 20
 MATCHES = (1, 2, 4, 8)
@@ -146,7 +148,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (h, turn, key, meta) to (h, key, meta, rep, rep_meta) for lists of two nodes or more.
+    """Sorted (h, key, meta) to (h, key, meta, rep, rep_meta) for lists of two nodes or more.
 
     Of a list that goes over the end of a batch only its head and last node are held.
     """
@@ -155,7 +157,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not len(batch):
             continue
-        h, key, meta = (batch.column(i).to_numpy() for i in (0, 2, 3))
+        h, key, meta = (batch.column(i).to_numpy() for i in range(3))
         goes_on = head_row is not None and h[0] == head_row[0]
         if goes_on:
             run = int(np.argmax(np.append(h != h[0], True)))
@@ -181,7 +183,7 @@ def _across(percent: int):
     """Sorted (h, n, key, meta, comp) to pairs of one list, of fitting sizes, that are in different components."""
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to = pa.schema([(c, pa.int64()) for c in ("key", "rep", "least")])
+        to = pa.schema([(c, pa.int64()) for c in ("key", "rep", "meta", "rep_meta")])
         for h, n, key, meta, comp in _lists(batches):
             stop = np.searchsorted(h, h, side="right")
             # the partners of i stand behind it, as long as they aren't too large
@@ -208,7 +210,7 @@ def _across(percent: int):
                 ok = comp[a] != comp[b]
                 a, b = a[ok], b[ok]
                 small = key[a] < key[b]
-                yield record({"key": np.where(small, key[a], key[b]), "rep": np.where(small, key[b], key[a]), "least": np.minimum(meta[a] % 16, meta[b] % 16)}, to)
+                yield record({"key": np.where(small, key[a], key[b]), "rep": np.where(small, key[b], key[a]), "meta": np.where(small, meta[a], meta[b]), "rep_meta": np.where(small, meta[b], meta[a])}, to)
                 at = to_row
 
     return across
@@ -256,17 +258,25 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     nodes = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
 
     posted = arrow_map(own, _postings(k, percent, table), "h long, key long, meta long")
-    turn = F.xxhash64("key", F.pmod("h", F.lit(4)))
-    sorted_ = posted.repartition("h").select("h", turn.alias("turn"), "key", "meta").sortWithinPartitions("h", "turn", "key")
+    sorted_ = posted.repartition("h").sortWithinPartitions("h", "key")
     lists = written(sorted_.mapInArrow(_stars, "h long, key long, meta long, rep long, rep_meta long"))
 
-    n = lambda c: F.floor(F.col(c) / 16)
+    n, l = (lambda c: F.floor(F.col(c) / 16)), (lambda c: F.col(c) % 16)
+    rest = lambda c: F.floor((percent * n(c) + 99) / 100) - l(c)
+    union = F.ceil(percent * (n("meta") + n("rep_meta")) / F.lit(100 + percent))
+    enough = F.greatest(F.least(l("meta"), l("rep_meta")), union - F.greatest(rest("meta"), rest("rep_meta")))
     fits = 100 * F.least(n("meta"), n("rep_meta")) >= percent * F.greatest(n("meta"), n("rep_meta"))
-    pairs = lists.where("key <> rep").where(fits).select(F.least("key", "rep").alias("key"), F.greatest("key", "rep").alias("rep")).distinct()
-    shared = lists.select("key").distinct()
-    texts = written(own.join(nodes.join(shared, "key"), "doc_id").select("key", "text"))
 
+    def matched(pairs: DataFrame) -> DataFrame:
+        """Pairs (key, rep), a row for each list they share, with as many as a link takes."""
+        return pairs.groupBy("key", "rep", "meta", "rep_meta").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= enough).select("key", "rep")
+
+    pairs = matched(lists.where("key <> rep").where(fits))
     def links(pairs: DataFrame) -> DataFrame:
+        """The pairs that link; only texts of documents in them are dealt out."""
+        pairs = written(pairs)
+        ends = pairs.select("key").unionByName(pairs.select(F.col("rep").alias("key"))).distinct()
+        texts = written(own.join(nodes.join(ends, "key"), "doc_id").select("key", "text"))
         a = texts.withColumnRenamed("text", "text_a")
         b = texts.select(F.col("key").alias("rep"), F.col("text").alias("text_b"))
         both = pairs.join(a, "key").join(b, "rep").select("key", "rep", "text_a", "text_b")
@@ -278,11 +288,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     placed = written(lists.join(label, "key", "left").select("h", n("meta").alias("n"), "key", "meta", F.coalesce("component", "key").alias("comp")))
     mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
     open_lists = placed.join(mixed, "h").repartition("h").select(*placed.columns).sortWithinPartitions("h", "n", "key")
-    far = (
-        open_lists.mapInArrow(_across(percent), "key long, rep long, least long")
-        .groupBy("key", "rep").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("least")).where("n >= least")
-    )
-    far = written(far.select("key", "rep"))
+    far = written(matched(open_lists.mapInArrow(_across(percent), "key long, rep long, meta long, rep_meta long")))
     if far.limit(1).count():
         near = near.unionByName(links(far))
         label = connected_components(edge(near)).withColumnRenamed("node", "key")

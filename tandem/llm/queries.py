@@ -119,3 +119,39 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = shards(table(spark, sf_dir, "documents"), n_shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query()
+def op8_sst_output(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    import zlib
+
+    from tandem.llm.common import arrow_map, list_values
+    from tandem.llm.sst_output import token_table
+
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+
+    def digest(batch):
+        ids, first = list_values(batch.column("ids"))
+        raw = ids.astype("<u4").tobytes()
+        sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        yield {"doc_id": batch.column("doc_id"), "start": batch.column("start"), "n_tokens": first[1:] - first[:-1], "ids_crc32": sums}
+
+    return arrow_map(token_table(table(spark, sf_dir, "documents"), path, end_id=2), digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+@query()
+def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tandem.llm.ann_permutation import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query()
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tandem.llm.line_dedup import line_dedup
+
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -107,6 +107,9 @@ class Observations:
         order = np.lexsort((*self.counts.T[::-1], self.kind))
         self.counts, self.kind, self.weight = self.counts[order], self.kind[order], self.weight[order]
         self.spans = self.kind == 0
+        self._full, self._cut = seen_units(self.counts, self.kind != 2) if len(self.counts) else (self.counts > 0, self.counts > 0)
+        self._full[self.spans], self._cut[self.spans] = True, False
+        self._known: dict[tuple[int, float, float], np.ndarray] = {}
 
     def __len__(self) -> int:
         return int(self.weight.sum())
@@ -121,11 +124,23 @@ class Observations:
     def all_rows(self, mask: np.ndarray) -> np.ndarray:
         return np.repeat(self.counts[mask], self.weight[mask], axis=0)
 
+    def _unit_mass(self, d: int, mean: float, unit_var: float) -> np.ndarray:
+        """Log mass of every observation's count of one unit; kept, as searches ask again for most units at each step."""
+        key = (d, float(mean), float(unit_var))
+        got = self._known.get(key)
+        if got is None:
+            s, full, cut = self.config.min_sd, self._full[:, d], self._cut[:, d]
+            x, at = np.unique(self.counts[:, d], return_inverse=True)
+            got = np.where(full, log_pmf(x, mean, unit_var, s)[at], 0.0)
+            if cut.any():
+                got[cut] = cut_log_pmf(x, mean, unit_var, s)[at][cut]
+            if len(self._known) > 4096:
+                self._known.clear()
+            self._known[key] = got
+        return got
+
     def log_mass(self, mean: np.ndarray, unit_var: np.ndarray) -> np.ndarray:
-        out, s = np.empty(len(self.weight)), self.config.min_sd
-        out[self.spans] = spanning_log_pmf(self.counts[self.spans], mean, unit_var, s)
-        out[~self.spans] = flanking_log_pmf(self.counts[~self.spans], mean, unit_var, self.kind[~self.spans] == 1, s)
-        return out
+        return sum(self._unit_mass(d, mean[d], unit_var[d]) for d in range(self.units))
 
     def hom_ll(self, mean: np.ndarray, unit_var: np.ndarray) -> float:
         return float(self.weight @ self.log_mass(mean, unit_var))

@@ -99,7 +99,7 @@ def root(f: Callable[[float], float], a: float, b: float, rounds: int = 200) ->
     fa = f(a)
     for _ in range(rounds):
         mid = (a + b) / 2
-        if mid in (a, b) or abs(b - a) < 1e-10:
+        if mid in (a, b) or abs(b - a) < 1e-8:
             break
         if (f(mid) > 0) == (fa > 0):
             a = mid

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tandem import views as V
 from tandem.functions import columns as C
-from tandem.operators import qc, reads, summary
+from tandem.operators import calls as calls_
+from tandem.operators import consensus as consensus_
+from tandem.operators import genotype, qc, reads, summary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -448,3 +450,66 @@ def vcf_format(spark, sf_dir):
         F.concat_ws("-", F.min(q).cast("int").cast("string"), F.max(q).cast("int").cast("string")).alias("repci"),
         F.concat_ws(",", F.count(F.lit(1)).cast("string"), F.count_if(F.col("l_returnflag") == "N").cast("string")).alias("ad"),
     )
+
+
+# --- kernels; SQL has no counterpart ---------------------------------------------------------------------------------
+
+
+def _loci(spark, sf_dir):
+    """Line items as counts of suppliers: the line number is the count, the return flag the kind of read."""
+    kind = F.when(F.col("l_returnflag") == "N", "spanning").when(F.col("l_returnflag") == "A", "left_flanking").otherwise("right_flanking")
+    count = F.when(F.col("l_suppkey") % 3 == 0, F.when(F.col("l_linenumber") > 3, 30).otherwise(12)).otherwise(F.col("l_linenumber") + 10)
+    calls = V.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("locus_id"), kind.alias("alignment_type"), F.array(count.cast("int")).alias("kmer_count"))
+    return genotype.genotype_loci(calls)
+
+
+@query()
+def haplotyping(spark, sf_dir):
+    return _loci(spark, sf_dir).select("locus_id", F.inline("labels")).select("locus_id", "alignment_type", F.array_join(F.col("kmer_count").cast("array<string>"), "-").alias("kmer_count"), "haplotype")
+
+
+@query()
+def lrt(spark, sf_dir):
+    return genotype.test_summary(_loci(spark, sf_dir))
+
+
+@query()
+def confidence_intervals(spark, sf_dir):
+    return genotype.parameter_summary(_loci(spark, sf_dir))
+
+
+_ANCHORS = ("ACGTTGCAAGCTTAGGCATCCGATAGCTGTACCTGAAGTCCGATTACGCATGGACTTAGC", "TTGACCATGCGTAAGCCTATGGCATCAGTTCGAACTGCCATAGTCAGGTTACCAGATCGT")
+
+
+def _simulated(spark, sf_dir):
+    """Parts as reads of two loci: anchors around as many units as the size says, an edit in some."""
+    n = F.col("p_size")
+    body = F.when(F.col("p_partkey") % 2 == 0, F.expr("repeat('CAG', p_size)")).otherwise(F.concat(F.expr("repeat('GAA', p_size)"), F.lit("TTC"), F.expr("repeat('CCG', p_size % 5)")))
+    text = F.concat(F.lit(_ANCHORS[0]), body, F.when(F.col("p_partkey") % 7 == 0, "").otherwise(F.lit(_ANCHORS[1])))
+    reads_ = V.table(spark, sf_dir, "part").where(n > 0).select(
+        F.when(F.col("p_partkey") % 2 == 0, "one").otherwise("two").alias("locus_id"), F.col("p_partkey").cast("string").alias("query_name"), F.lit("+").alias("strand"), text.alias("sequence"),
+        F.array_repeat(F.lit(30), F.length(text)).alias("qualities"), F.repeat(F.lit("0"), F.length(text)).alias("mod_5mc_probs"))
+    loci = spark.createDataFrame(
+        [("one", *_ANCHORS, ["CAG"], [True], ["", ""]), ("two", *_ANCHORS, ["GAA", "CCG"], [True, True], ["", "TTC", ""])],
+        "locus_id string, left_anchor string, right_anchor string, units array<string>, skippable array<boolean>, breaks array<string>")
+    return calls_.align(reads_, loci)
+
+
+@query()
+def graph_align(spark, sf_dir):
+    a = _simulated(spark, sf_dir)
+    return a.select("locus_id", "query_name", "error_flags", "alignment_type", F.array_join(F.col("kmer_count").cast("array<string>"), "-").alias("kmer_count"), C.contract_runs(F.coalesce("obs_kmers", F.array().cast("array<string>"))).alias("contracted"))
+
+
+@query()
+def consensus(spark, sf_dir):
+    a = _simulated(spark, sf_dir).where("error_flags is null")
+    found = consensus_.consensus(a.withColumn("haplotype", F.when(F.element_at("kmer_count", 1) < 20, "h1").otherwise("h2")))
+    return found.select("locus_id", "haplotype", "kind", C.contract_runs(F.col("kmers")).alias("contracted"), "spanning_reads", "flanking_reads")
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(case when greatest(len(a), len(b)) = 0 then 0 else levenshtein(a, b) / greatest(len(a), len(b)) end, 6) as rate
+    from (select *, p_name as a, l_returnflag || p_brand as b from lineitem join part on l_partkey = p_partkey)""")
+def levenshtein_rate(spark, sf_dir):
+    rows = V.table(spark, sf_dir, "lineitem").join(V.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6(C.levenshtein_share(F.col("p_name"), F.concat("l_returnflag", "p_brand"))).alias("rate"))

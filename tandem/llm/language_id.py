@@ -7,7 +7,8 @@ of an embedding table; a text is the average of its rows, and a linear layer wit
 Training is stochastic gradient descent in numpy over a bounded sample: at most ``max_rows`` labelled texts, equally many of
 each language, chosen by a hash of the id.  Tasks turn the sampled texts (whole) into bucket counts, so what the driver gets
 is bounded by ``max_rows * BUCKETS``.  A fifth of the sample is left out of the descent and sets the temperature of the
-softmax and the score under which a text is rejected.
+softmax and the score under which a text is rejected: that which a thousandth of them miss, but never more than one half, so
+that a text whose language is likely is not rejected for a small doubt.
 
 Prediction is linear up to the softmax: embedding table times layer is one small table of ``BUCKETS`` rows and a column a
 language, and a text's logits are averages over it, so whole texts go through a few array operations a block.
@@ -122,7 +123,7 @@ def sample(docs: DataFrame, max_rows: int) -> DataFrame:
 def train(docs: DataFrame, max_rows: int = 3000, dim: int = 16, epochs: int = 6, rate: float = 0.5, reject: float = 0.001, seed: int = 7) -> Model | None:
     """A model learnt from (doc_id, text, lang); None if there is nothing to learn from.
 
-    ``reject`` is the part of held-back labelled texts that calibration lets the model reject.
+    ``reject`` is the part of held-back labelled texts that calibration lets the model reject, if they score under one half.
     """
     got = arrow_map(sample(docs, max_rows), _counts, "rank long, lang string, buckets array<int>, counts array<int>").toArrow()
     got = got.take(pa.compute.sort_indices(got, sort_keys=[("rank", "ascending"), ("lang", "ascending")]))
@@ -171,7 +172,7 @@ def train(docs: DataFrame, max_rows: int = 3000, dim: int = 16, epochs: int = 6,
     of = y[held if len(held) else fit]
     loss = lambda t: -np.log(softmax(z / t)[np.arange(len(of)), of] + 1e-12).mean()
     temperature = float(min(np.geomspace(0.05, 20, 121), key=loss))
-    least = float(np.quantile(softmax(z / temperature).max(1), reject)) * (1 - 1e-9) if len(languages) > 1 else 0.0
+    least = min(0.5, float(np.quantile(softmax(z / temperature).max(1), reject)) * (1 - 1e-9)) if len(languages) > 1 else 0.0
     return Model(languages, np.ascontiguousarray(table, np.float32), b.astype(np.float64), temperature, least)
 
 

@@ -6,8 +6,9 @@ exclusive-or with fixed words (each word orders random hashes anew), two a band;
 with probability 1 - (1 - 0.64) ** 5 = 0.994, of 0.9 with 0.9998.
 
 1. Equal lines are one node, named by a 64-bit hash, with its first place; sums before the shuffle make hot lines harmless.
-2. Each bucket of a band pairs its nodes with one of them only.  Pairs are verified by exact Jaccard similarity of the shingle
-   sets, and links give components by distributed union-find.
+2. Each bucket of a band pairs its nodes with one of them only, chosen by hash, and where that leaves several components with
+   ``REPS - 1`` others.  Pairs are verified by exact Jaccard similarity of the shingle sets (as 32-bit hashes, which differ for
+   different shingles of two lines but for one pair in a million), and links give components by distributed union-find.
 3. Nodes of one bucket that are still in different components are paired, verified and joined in.  Pairs inside a component
    need no check, so no link is lost and a bucket of n variants of a line costs n pairs.
 4. Of each component the line of the earliest place stays.  Places of lines that *stay* go back to their documents, one a
@@ -24,14 +25,23 @@ from tandem.llm.components import connected_components
 
 CHARS = 9
 BANDS = 5
+#: Nodes of a bucket that all its others are held against first.
+REPS = 4
 #: Words for the exclusive-or: multiples of an odd constant.
 SEEDS = [((i + 1) * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63) for i in range(2 * BANDS)]
 
 
 def shingles(line: Column, chars: int = CHARS) -> Column:
     """Distinct hashes of a line's shingles."""
-    pieces = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{chars - 1}}}))\S+"), F.lit(1))
-    return F.array_distinct(F.transform(pieces, lambda x: F.xxhash64(x)))
+    return F.array_distinct(F.transform(_pieces(line, chars), lambda x: F.xxhash64(x)))
+
+
+def _pieces(line: Column, chars: int = CHARS) -> Column:
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{chars - 1}}}))\S+"), F.lit(1))
+
+
+def _least(hashes: str, seed: int) -> Column:
+    return F.array_min(F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(seed))))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -43,11 +53,18 @@ def _lines(docs: DataFrame) -> DataFrame:
 def _signed(lines: DataFrame) -> DataFrame:
     """Adds the line's hash, the size of its shingle set and its band keys."""
     s = lines.select("doc_id", "at", F.xxhash64("line").alias("h"), shingles(F.col("line")).alias("s"))
-    least = [F.array_min(F.transform("s", lambda x, seed=seed: x.bitwiseXOR(F.lit(seed)))).alias(f"m{i}") for i, seed in enumerate(SEEDS)]
+    least = [_least("s", seed).alias(f"m{i}") for i, seed in enumerate(SEEDS)]
     s = s.select("doc_id", "at", "h", F.size("s").alias("n"), *least)
     return s.select("doc_id", "at", "h", "n", *[F.xxhash64(F.lit(i), f"m{2 * i}", f"m{2 * i + 1}").alias(f"b{i}") for i in range(BANDS)])
 
 
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    a, b = (label.select(F.col("h").alias(c), F.col("component").alias(f"c{c}")) for c in ("u", "v"))
+    both = pairs.join(a, "u", "left").join(b, "v", "left")
+    return both.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+
+
 def _edges(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose shingle sets are similar enough."""
     a, b = sets.select(F.col("h").alias("u"), F.col("s").alias("su")), sets.select(F.col("h").alias("v"), F.col("s").alias("sv"))
@@ -71,21 +88,31 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     places = _signed(_lines(own))
     nodes = written(places.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.min("n").alias("n"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)]))
     banded = nodes.select("h", "n", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("h").alias("rep")).where("k > 1").select("bucket", "rep")
+    reps = [F.min_by("h", F.xxhash64("h", F.lit(i))).alias(f"r{i}") for i in range(REPS)]
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), *reps).where("k > 1").drop("k")
     members = written(banded.join(shared, "bucket"))
-    pairs = members.where("h <> rep").select(F.col("h").alias("u"), F.col("rep").alias("v")).distinct()
 
     wanted = members.select("h").distinct().join(nodes.select("h", "first.*"), "h").groupBy("doc_id").agg(F.collect_list(F.struct("at", "h")).alias("wanted"))
-    lines = own.join(wanted, "doc_id").select(F.split("text", "\n", -1).alias("lines"), F.explode("wanted").alias("w"))
-    line = F.regexp_replace(F.get("lines", F.col("w.at")), r"^\s+|\s+$", "")
-    sets = lines.select(F.col("w.h").alias("h"), line.alias("line")).where(F.xxhash64("line") == F.col("h"))
-    sets = written(sets.select("h", shingles(F.col("line")).alias("s")))
-
-    links = _edges(pairs, sets, percent)
-    label = written(connected_components(links).withColumnRenamed("node", "h"))
-    placed = written(members.join(label, "h", "left").select("bucket", "h", "n", F.coalesce("component", "h").alias("comp")))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    some = placed.join(mixed, "bucket")
+    lines = own.join(wanted, "doc_id").select(F.split("text", "\n", -1).alias("lines"), "wanted")
+    # the array of lines is made once a text, below the explode
+    sets = lines.select(F.explode(F.transform("wanted", lambda w: F.struct(w["h"].alias("h"), F.get("lines", w["at"]).alias("line")))).alias("w"))
+    sets = sets.select("w.h", F.regexp_replace("w.line", r"^\s+|\s+$", "").alias("line")).where(F.xxhash64("line") == F.col("h"))
+    sets = written(sets.select("h", F.array_distinct(F.transform(_pieces(F.col("line")), lambda x: F.hash(x))).alias("s")))
+
+    # first one representative a bucket; the others only for buckets that it leaves in several components
+    label, links, open_, rounds = None, None, members, ([0], range(1, REPS))
+    for turn in rounds:
+        pairs = open_.select("h", F.explode(F.array_distinct(F.array(*[f"r{i}" for i in turn]))).alias("rep")).where("h <> rep")
+        pairs = pairs.select(F.least("h", "rep").alias("u"), F.greatest("h", "rep").alias("v")).distinct()
+        if label is not None:
+            pairs = _apart(pairs, label)
+        new = _edges(pairs, sets, percent)
+        links = new if links is None else links.unionByName(new)
+        label = written(connected_components(links).withColumnRenamed("node", "h"))
+        placed = written(members.join(label, "h", "left").select(*members.columns, F.coalesce("component", "h").alias("comp")))
+        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+        open_ = placed.join(mixed, "bucket", "left_semi")
+    some = written(open_)
     a, b = some.select("bucket", F.col("h").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu")), some.select("bucket", F.col("h").alias("v"), F.col("n").alias("nv"), F.col("comp").alias("cv"))
     far = a.join(b, "bucket").where("cu < cv").where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")).select("u", "v").distinct()
     more = _edges(far, sets, percent)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.llm.common import WORD
+from tandem.llm.common import WORD, written
+
+#: Most sources whose figures go to every task; beyond, both sides are dealt by source and hot sources split.
+SMALL = 1 << 16
 
 
 def n_words(text: str = "text") -> Column:
@@ -47,10 +50,13 @@ def decisions(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     seed and the id.  An empty table gives an empty table; columns of any name go through inside ``row``.
 
     Two passes over the texts; the first is summed up before it is shuffled, so a source with a third of all rows costs no
-    more than another.  The second takes its source's figures from a table of one row a source, by whichever join fits its size.
+    more than another.  The second takes its source's figures from a table of one row a source, which is written and counted
+    first: with at most ``SMALL`` rows it goes to every task and no text is moved.
     """
     own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(id_col).alias("__id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"))
-    of = targets(own.select("source", "size"), weights, most).withColumnRenamed("source", "__source")
+    of = written(targets(own.select("source", "size"), weights, most).withColumnRenamed("source", "__source"))
+    if of.count() <= SMALL:
+        of = F.broadcast(of)
     rate = F.coalesce(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")), F.lit(0.0))
     copies = F.floor("rate") + F.when(draw(F.col("__id"), seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return own.join(of, F.col("source").eqNullSafe(F.col("__source"))).withColumn("rate", rate).select("row", "__id", "size", "source_size", "target", copies.cast("int").alias("copies"))

@@ -11,6 +11,7 @@ that length, so it removes nothing more) or earlier, when no candidate survives.
 * No level sends lists of places of one window anywhere.  A level's answer is the *first* place of each window (or that
   it is the only one), which partial aggregation finds before the shuffle; a document whose window isn't the first place
   knows that it is a repeat.  A window that a third of the corpus shares costs one row a map task.
+* Windows of the last level are told apart by 96 bits of two hashes, those of level 0, which only choose candidates, by 64.
 * Only hashes and places are shuffled, and the texts once by ``doc_id``, which both levels' answers reuse.
 """
 
@@ -95,7 +96,7 @@ def _windows(min_words: int):
             h2 = K.window_hashes(K.mix(words ^ K._C2), min_words)[at] if len(at) else h1
             pick, _ = _once(h1, row[at], at)
             at, h1, h2 = at[pick], h1[pick], h2[pick]
-            yield {"h1": K.signed(h1), "h2": K.signed(h2), "doc_id": np.asarray(rows.column("doc_id"))[row[at]], "at": at - first[row[at]]}
+            yield {"h1": K.signed(h1), "h2": (h2 >> K.U64(32)).astype(np.uint32).view(np.int32), "doc_id": np.asarray(rows.column("doc_id"))[row[at]], "at": at - first[row[at]]}
 
     return windows
 
@@ -164,7 +165,7 @@ def substring_dedup(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id"
         .where("n = 1 and at >= 0").groupBy("doc_id").agg(F.collect_list("at").alias("only"))
     )
     level0 = dealt.join(only, "doc_id", "left").select("doc_id", "text", "only")
-    windows = arrow_map(level0, _windows(min_words), "h1 long, h2 long, doc_id long, at int")
+    windows = arrow_map(level0, _windows(min_words), "h1 long, h2 int, doc_id long, at int")
     firsts = (
         windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.min_by("at", "doc_id").alias("at"))
         .groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("at").alias("firsts"))

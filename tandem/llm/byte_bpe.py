@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -22,7 +23,8 @@ from tandem.llm import kernels as K
 from tandem.llm.common import arrow_map, int_lists, list_values
 from tandem.llm.pretokens import distinct_pieces, piece_starts
 
-CACHE = 200_000
+#: Pre-tokens whose ids a worker keeps, and texts (bytes) that it takes at once.
+CACHE, TAKE = 200_000, 2 << 20
 
 
 class PerfectHash:
@@ -97,7 +99,7 @@ class Vocabulary:
             for i in range(1, len(token))
             if (left := self.ranks.get(token[:i])) is not None and (right := self.ranks.get(token[i:])) is not None
         }
-        self.cache: dict[bytes, list[int]] = {}
+        self.cache: dict[bytes, bytes] = {}  # ids as 32-bit integers
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a piece: always the pair of least rank merges, the leftmost of equal ones.
@@ -149,20 +151,20 @@ class Vocabulary:
             piece = raw[a[i] : b[i]].tobytes()
             ids = self.cache.get(piece)
             if ids is None:
-                ids = self.merge(piece)
+                ids = array("I", self.merge(piece)).tobytes()
                 if len(self.cache) >= CACHE:
                     self.cache.clear()
                 if len(piece) <= 64:
                     self.cache[piece] = ids
             got.append(ids)
-            count[i] = len(ids)
+            count[i] = len(ids) // 4
         first = np.concatenate([[0], np.cumsum(count)])
         flat = np.empty(first[-1], dtype=np.int64)
         hit = np.flatnonzero(row >= 0)
         flat[first[hit]] = self.ids[row[hit]]
         if got:
             at, _ = K.ragged(first, missed)
-            flat[at] = np.fromiter((x for ids in got for x in ids), dtype=np.int64)
+            flat[at] = np.frombuffer(b"".join(got), dtype=np.uint32)
         return flat, first
 
     def encode(self, texts: K.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +191,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 def _encode(path: str):
     def encode(batch: pa.RecordBatch) -> Iterator[dict]:
-        for rows, texts in K.blocks(batch):
+        for rows, texts in K.blocks(batch, limit=TAKE):
             ids, first = vocabulary(path).encode(texts)
             yield {"doc_id": rows.column("doc_id"), "ids": int_lists(ids, first, pa.int32())}
 

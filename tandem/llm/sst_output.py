@@ -21,6 +21,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
@@ -41,7 +42,8 @@ BLOCK = 128 << 10
 HASHES = 7
 BITS = 10
 FOOTER = struct.Struct("<QIQIQQBIQ8s")
-CACHE = 200_000
+#: Distinct pre-tokens whose ids a worker keeps, those it asks the library for at once, and the texts (bytes) it takes at once.
+CACHE, ASK, TAKE = 150_000, 4096, 2 << 20
 
 
 def key_of(doc_id: int) -> bytes:
@@ -188,7 +190,7 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.cache: dict[bytes, list[int]] = {}
+        self.cache: dict[bytes, bytes] = {}  # ids as little-endian 32-bit integers
 
     def encode(self, texts: K.Texts) -> tuple[np.ndarray, np.ndarray]:
         starts, first = piece_starts(texts, "tokenizers")
@@ -201,11 +203,15 @@ class LibraryEncoder:
         if len(known) + len(new) > CACHE:
             known.clear()
             new = pieces
-        own = {p: e.ids for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False), strict=True)}
+        own: dict[bytes, bytes] = {}
+        for i in range(0, len(new), ASK):  # the library's results are large; only the ids are kept
+            part = new[i : i + ASK]
+            got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)
+            own.update((p, array("I", e.ids).tobytes()) for p, e in zip(part, got, strict=True))
         found = [own[p] if p in own else known[p] for p in pieces]
         known.update((p, ids) for p, ids in own.items() if len(p) <= 64)
-        of = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))])
-        flat = np.fromiter((x for ids in found for x in ids), dtype=np.int64, count=int(of[-1]))
+        of = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4)])
+        flat = np.frombuffer(b"".join(found), dtype=np.uint32)
         at, cut = K.ragged(of, code)
         return flat[at], cut[first]
 
@@ -249,7 +255,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
             return record({"shard": [shard], "path": [name], "documents": [writer.documents], "tokens": [writer.tokens]}, to)
 
         for batch in batches:
-            for rows, texts in K.blocks(batch):
+            for rows, texts in K.blocks(batch, limit=TAKE):
                 ids, first = lib.encode(texts)
                 part, doc = rows.column("part").to_pylist(), rows.column("doc_id").to_pylist()
                 for i in range(len(rows)):

@@ -41,7 +41,8 @@ def reads_at(alignments: DataFrame, loci: DataFrame, c: Config = Config()) -> Da
 def genotype_reads(reads: DataFrame, loci: DataFrame, sex: str = "XX", c: Config = Config()) -> dict[str, DataFrame]:
     """The result tables of reads at their loci: reads, filtered_reads, consensus, haplotypes, summary, par_summary.
 
-    Aligned reads, the genotype table and the first consensus are each used several times and kept; every other step is one plan.
+    Aligned reads, checked and labelled calls, the genotype table and both consensus tables are each used several times and kept on
+    disk in two copies, so a lost executor costs nothing; every other step is one plan.
     """
     keep = StorageLevel.DISK_ONLY_2
     aligned = calls_.align(reads, loci).persist(keep)
@@ -52,8 +53,8 @@ def genotype_reads(reads: DataFrame, loci: DataFrame, sex: str = "XX", c: Config
     found = genotype.genotype_loci(good, ploidy, c).persist(keep)
     labelled = genotype.label_reads(good, found)
     first = consensus_.consensus_calls(consensus_.consensus(labelled), loci).persist(keep)
-    labelled = consensus_.relabel_flanking(labelled, first)
-    final = consensus_.consensus_calls(consensus_.consensus(labelled), loci)
+    labelled = consensus_.relabel_flanking(labelled, first).persist(keep)
+    final = consensus_.consensus_calls(consensus_.consensus(labelled), loci).persist(keep)
     all_reads = labelled.unionByName(bad.withColumn("locus_id", F.col("locus_id").cast("string")))
     units = files.units_of(loci).select("locus_id", "idx", "satellite")
     return {

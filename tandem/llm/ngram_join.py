@@ -11,7 +11,7 @@ Texts with A-Z in lower case are sets of word shingles.  Two link when ``100 * |
 * **Matches.**  Beyond the prefixes a pair can share no more than the longer of the two rests, so a link takes
   ``c >= max(min(l), ceil(percent * (n + n') / (100 + percent)) - max(a - l, a' - l'))`` shared prefix shingles.
 * **Links.**  Equal sets are one node from the start: a list has a node once however many copies there are.  Each list
-  first pairs its nodes with its least one only; pairs with enough matches are verified and give components.  Then pairs of
+  first pairs its nodes with ``REPS`` of them only; pairs with enough matches are verified and give components.  Then pairs of
   one list whose nodes are still in *different* components are made, counted over their lists, held against the matches
   that a link takes, verified, and joined to the components.  A pair within a component needs no check: a link inside it
   changes nothing.  So no link is lost, while a group of n near copies costs n pairs and not n * n.
@@ -39,6 +39,8 @@ FLUSH = 48 << 20
 MATCHES = (1, 2, 4, 8)
 #: What checking a candidate costs, in places read from a list.
 VERIFY = 16
+#: Nodes of a list that all its others are held against first.
+REPS = 8
 
 
 def _keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -147,75 +149,96 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]
         yield tuple(c.to_numpy() for c in pa.Table.from_batches(held).columns)
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (h, key, meta) to (h, key, meta, rep, rep_meta) for lists of two nodes or more.
+def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and how long they are."""
+    at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    return at, np.diff(np.append(at, len(h)))
 
-    Of a list that goes over the end of a batch only its head and last node are held.
-    """
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (h, key, meta) to (h, key, meta, rep, rep_meta) for lists of two nodes or more: each node with itself, and with
+    those of the list's ``REPS`` representatives that are others.  Representative i is the node of least hash by seed i, so
+    lists of a group of near copies mostly choose the same."""
     to = pa.schema([(c, pa.int64()) for c in ("h", "key", "meta", "rep", "rep_meta")])
-    head_row, last, given = None, None, False
-    for batch in batches:
-        if not len(batch):
-            continue
-        h, key, meta = (batch.column(i).to_numpy() for i in range(3))
-        goes_on = head_row is not None and h[0] == head_row[0]
-        if goes_on:
-            run = int(np.argmax(np.append(h != h[0], True)))
-            skip = int(np.argmin(np.append(key[:run] == last, False)))  # copies of the last node
-            h, key, meta = (np.concatenate([[x], y[skip:]]) for x, y in zip(head_row, (h, key, meta), strict=True))
+    for h, key, meta in _lists(batches):
         new = np.ones(len(h), dtype=bool)
         new[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1])  # copies of one set stand together
         h, key, meta = h[new], key[new], meta[new]
-        at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        size = np.diff(np.append(at, len(h)))
-        of = np.repeat(at, size)
-        keep = np.repeat(size > 1, size)
-        if goes_on and given:
-            keep = keep | np.repeat(np.arange(len(at)) == 0, size)
-            keep[0] = False
-        if keep.any():
-            yield record({"h": h[keep], "key": key[keep], "meta": meta[keep], "rep": key[of[keep]], "rep_meta": meta[of[keep]]}, to)
-        given = size[-1] > 1 or goes_on and given and len(at) == 1
-        head_row, last = (h[at[-1]], key[at[-1]], meta[at[-1]]), key[-1]
+        _, size = _runs(h)
+        several = np.repeat(size > 1, size)
+        h, key, meta = h[several], key[several], meta[several]
+        if not len(h):
+            continue
+        yield record({"h": h, "key": key, "meta": meta, "rep": key, "rep_meta": meta}, to)
+        at, size = _runs(h)
+        chosen: list[np.ndarray] = []
+        for i in range(REPS):
+            order = K.mix(K.unsigned(key) + K.U64(i + 1) * K._C1)
+            first = np.flatnonzero(order == np.repeat(np.minimum.reduceat(order, at), size))
+            rep = np.repeat(first, size)
+            fresh = key != key[rep]
+            for other in chosen:
+                fresh &= rep != other
+            chosen.append(rep)
+            if fresh.any():
+                yield record({"h": h[fresh], "key": key[fresh], "meta": meta[fresh], "rep": key[rep[fresh]], "rep_meta": meta[rep[fresh]]}, to)
+
+
+def _enough(percent: int, ma: np.ndarray, mb: np.ndarray) -> np.ndarray:
+    """How many shared prefix shingles a link between two documents takes, from their sizes and ``l``."""
+    na, nb, la, lb = ma // 16, mb // 16, ma % 16, mb % 16
+    rest = np.maximum((percent * na + 99) // 100 - la, (percent * nb + 99) // 100 - lb)
+    return np.maximum(np.minimum(la, lb), -(-percent * (na + nb) // (100 + percent)) - rest)
 
 
 def _across(percent: int):
-    """Sorted (h, n, key, meta, comp) to pairs of one list, of fitting sizes, that are in different components."""
+    """(lo, h, key, meta, comp, rest) sorted by lo to pairs of nodes that share lists but no component, with counts.
+
+    Lists with the same least component ``lo`` come together, as those of one group do.  For one node after another the nodes
+    of its lists are counted, so a task holds a group's lists and one row of counts, never its pairs.  ``rest`` is how many lists
+    a node has elsewhere: a pair that can't reach what a link takes even with those is given out by no task.
+    """
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to = pa.schema([(c, pa.int64()) for c in ("key", "rep", "meta", "rep_meta")])
-        for h, n, key, meta, comp in _lists(batches):
-            stop = np.searchsorted(h, h, side="right")
-            # the partners of i stand behind it, as long as they aren't too large
-            i = np.arange(len(h))
-            top = n * 100 // percent
-            lo, hi = i + 1, stop.copy()
-            same = np.ones(len(h), dtype=bool)
-            while True:  # binary search in all lists at once
-                mid = (lo + hi) // 2
-                go = lo < hi
-                if not go.any():
-                    break
-                fits = go & (n[np.minimum(mid, len(n) - 1)] <= top)
-                lo = np.where(fits, mid + 1, lo)
-                hi = np.where(go & ~fits, mid, hi)
-            width = lo - i - 1
-            at = 0
-            ends = np.cumsum(width)
-            while at < len(h):
-                to_row = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), side="right")))
-                w = width[at:to_row]
-                a = np.repeat(np.arange(at, to_row), w)
-                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w)
-                ok = comp[a] != comp[b]
-                a, b = a[ok], b[ok]
-                small = key[a] < key[b]
-                yield record({"key": np.where(small, key[a], key[b]), "rep": np.where(small, key[b], key[a]), "meta": np.where(small, meta[a], meta[b]), "rep_meta": np.where(small, meta[b], meta[a])}, to)
-                at = to_row
+        to = pa.schema([(c, pa.int64()) for c in ("key", "rep", "meta", "rep_meta", "c")])
+        for lo, h, key, meta, comp, rest in _lists(batches):
+            for x, y in zip(*(v.tolist() for v in _bounds(lo)), strict=True):
+                nodes, first, node = np.unique(key[x:y], return_index=True, return_inverse=True)
+                m, of, elsewhere = meta[x:y][first], comp[x:y][first], rest[x:y][first]
+                size = m // 16
+                order = np.argsort(h[x:y], kind="stable")
+                member, (at, length) = node[order], _runs(h[x:y][order])
+                own_list = np.repeat(np.arange(len(at)), length)
+                list_first = np.append(at, len(member))
+                by_node = np.argsort(member, kind="stable")
+                node_first = np.searchsorted(member[by_node], np.arange(len(nodes) + 1))
+                found: list[tuple[np.ndarray, ...]] = []
+                held = 0
+                for a in range(len(nodes)):
+                    lists = own_list[by_node[node_first[a] : node_first[a + 1]]]
+                    places, _ = K.ragged(list_first, lists)
+                    c = np.bincount(member[places], minlength=len(nodes))
+                    b = np.flatnonzero((c > 0) & (of != of[a]))
+                    b = b[b > a]
+                    b = b[100 * np.minimum(size[b], size[a]) >= percent * np.maximum(size[b], size[a])]
+                    b = b[c[b] + np.minimum(elsewhere[b], elsewhere[a]) >= _enough(percent, np.full(len(b), m[a]), m[b])]
+                    if len(b):
+                        found.append((np.full(len(b), nodes[a]), nodes[b], np.full(len(b), m[a]), m[b], c[b]))
+                        held += len(b)
+                    if held > 1 << 18:
+                        yield record(dict(zip(to.names, map(np.concatenate, zip(*found, strict=True)), strict=True)), to)
+                        found, held = [], 0
+                if found:
+                    yield record(dict(zip(to.names, map(np.concatenate, zip(*found, strict=True)), strict=True)), to)
 
     return across
 
 
+def _bounds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at, size = _runs(x)
+    return at, at + size
+
+
 def _verify(k: int, percent: int):
     def verify(batch: pa.RecordBatch) -> Iterator[dict]:
         at = 0
@@ -268,10 +291,14 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     fits = 100 * F.least(n("meta"), n("rep_meta")) >= percent * F.greatest(n("meta"), n("rep_meta"))
 
     def matched(pairs: DataFrame) -> DataFrame:
-        """Pairs (key, rep), a row for each list they share, with as many as a link takes."""
-        return pairs.groupBy("key", "rep", "meta", "rep_meta").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= enough).select("key", "rep")
-
-    pairs = matched(lists.where("key <> rep").where(fits))
+        """Pairs (key, rep), with the lists they share, that share as many as a link takes."""
+        return pairs.groupBy("key", "rep", "meta", "rep_meta").agg(F.sum("c").alias("c")).where(F.col("c") >= enough).select("key", "rep")
+
+    ordered = lists.where("key <> rep").where(fits)
+    swap = F.col("key") > F.col("rep")
+    ends = lambda a, b: [F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a), F.when(swap, F.col(a)).otherwise(F.col(b)).alias(b)]
+    ordered = ordered.select("h", *ends("key", "rep"), *ends("meta", "rep_meta"), F.lit(1).cast("long").alias("c"))
+    pairs = matched(ordered)
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs that link; only texts of documents in them are dealt out."""
         pairs = written(pairs)
@@ -285,10 +312,14 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     near = links(pairs)
     edge = lambda e: e.select(F.col("key").alias("u"), F.col("rep").alias("v"))
     label = connected_components(edge(near)).withColumnRenamed("node", "key")
-    placed = written(lists.join(label, "key", "left").select("h", n("meta").alias("n"), "key", "meta", F.coalesce("component", "key").alias("comp")))
-    mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-    open_lists = placed.join(mixed, "h").repartition("h").select(*placed.columns).sortWithinPartitions("h", "n", "key")
-    far = written(matched(open_lists.mapInArrow(_across(percent), "key long, rep long, meta long, rep_meta long")))
+    placed = written(lists.where("key = rep").join(label, "key", "left").select("h", n("meta").alias("n"), "key", "meta", F.coalesce("component", "key").alias("comp")))
+    mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h", "lo")
+    open_lists = written(placed.join(mixed, "h").select("lo", "h", "key", "meta", "comp"))
+    here = open_lists.groupBy("lo", "key").agg(F.count(F.lit(1)).alias("here"))
+    total = here.groupBy("key").agg(F.sum("here").alias("total"))
+    rest = here.join(total, "key").select("lo", "key", (F.col("total") - F.col("here")).alias("rest"))
+    dealt = open_lists.join(rest, ["lo", "key"]).repartition("lo").select("lo", "h", "key", "meta", "comp", "rest").sortWithinPartitions("lo")
+    far = written(matched(dealt.mapInArrow(_across(percent), "key long, rep long, meta long, rep_meta long, c long")))
     if far.limit(1).count():
         near = near.unionByName(links(far))
         label = connected_components(edge(near)).withColumnRenamed("node", "key")

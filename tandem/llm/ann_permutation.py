@@ -6,7 +6,8 @@ ones take off the footrule distance of the two orders (a pivot outside a prefix
 
     footrule = prefix * (prefix + 1) - 2 * sum over shared pivots of (prefix - max(rank, rank'))
 
-The block's nearest ``share`` of vectors by footrule are ranked again by inner product on the original vectors.
+The block's nearest ``share`` of vectors by footrule are ranked again by inner product on the original vectors, then the next
+``share``, and so on until a whole share brings none of the best ``k + 1``.
 
 Pivots are a bounded sample (``pivots`` distinct vectors by hash order); every row is indexed.  Equal vectors are one entry with
 their least ids, found before the shuffle, so a vector that a third of the rows share is one row.  Queries and index meet block by
@@ -67,14 +68,14 @@ def _block_search(k: int, share: float, n_pivots: int, prefix: int):
         if not len(index) or not len(queries):
             return pa.Table.from_batches([], schema=to)
         x, q = _matrix(index.column("vector")), _matrix(queries.column("vector"))
-        order, q_order = _matrix(index.column("near")).astype(np.int64), _matrix(queries.column("near")).astype(np.int64)
+        x_order, q_order = _matrix(index.column("near")).astype(np.int64), _matrix(queries.column("near")).astype(np.int64)
         rep = queries.column("rep").to_numpy()
         ids, first = list_values(index.column("ids"))
         # inverted files: of each pivot the vectors that have it, and what each rank leaves of the prefix
-        n, width = order.shape
-        by = np.argsort(order.ravel(), kind="stable")
+        n, width = x_order.shape
+        by = np.argsort(x_order.ravel(), kind="stable")
         post, left = (by // width).astype(np.int32), (prefix - by % width).astype(np.int16)
-        start = np.searchsorted(order.ravel()[by], np.arange(n_pivots + 1))
+        start = np.searchsorted(x_order.ravel()[by], np.arange(n_pivots + 1))
         take = min(n, max(math.ceil(share * n), 4 * (k + 1)))
         out_q, out_v, out_s = [], [], []
         for i in range(len(q)):
@@ -82,11 +83,20 @@ def _block_search(k: int, share: float, n_pivots: int, prefix: int):
             for r, p in enumerate(q_order[i].tolist()):
                 a, b = start[p], start[p + 1]
                 score[post[a:b]] += np.minimum(left[a:b], prefix - r)
-            near = np.argpartition(-score, take - 1)[:take] if take < n else np.arange(n)
-            s = x[near] @ q[i]
-            if len(s) > k + 1:
-                edge = np.partition(s, len(s) - k - 1)[len(s) - k - 1]
-                near = near[s >= edge - 1e-9 * (1 + abs(edge))]
+            order = np.argsort(-score, kind="stable")
+            near, s = order[:0], np.empty(0)
+            for at in range(0, n, take):
+                more = order[at : at + take]
+                t = x[more] @ q[i]
+                if at and t.max() < edge:
+                    break
+                near, s = np.concatenate([near, more]), np.concatenate([s, t])
+                if len(s) > k + 1:
+                    edge = np.partition(s, len(s) - k - 1)[len(s) - k - 1]
+                    edge -= 1e-9 * (1 + abs(edge))
+                    near, s = near[s >= edge], s[s >= edge]
+                else:
+                    edge = -np.inf
             best = []
             for v in near.tolist():
                 exact = math.fsum((x[v] * q[i]).tolist())  # rounded once, whatever the order of the sum

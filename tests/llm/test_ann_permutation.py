@@ -57,3 +57,12 @@ def test_few_and_none(spark):
     assert found(few, 20, 20) == {0: [(2, 1.0), (1, 0.5)]}
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nearest(empty, F.col("vec_id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("n", [500, 2000])
+def test_recall_with_the_query_s_defaults(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 64)).astype(np.float32)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    want, got = brute(rows, 20, 20), found(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 20, 20)
+    assert got.keys() == want.keys()
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.95

@@ -1,7 +1,8 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
 Lines are what newlines separate, compared without white space at both ends.  A line's shingles are the character runs of up to
-``CHARS`` characters that begin at each word's start.  The distinct shingles' 64-bit hashes give ``2 * BANDS`` minima under
+``CHARS`` characters that begin at each word's start and, in words longer than that, at every place from which ``CHARS`` characters
+of the word are left: each character is in a shingle, and text without white space has one at every place.  The distinct shingles' 64-bit hashes give ``2 * BANDS`` minima under
 exclusive-or with fixed words (each word orders random hashes anew), two a band; lines of Jaccard similarity 0.8 share a band
 with probability 1 - (1 - 0.64) ** 5 = 0.994, of 0.9 with 0.9998.
 
@@ -37,7 +38,7 @@ def shingles(line: Column, chars: int = CHARS) -> Column:
 
 
 def _pieces(line: Column, chars: int = CHARS) -> Column:
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{chars - 1}}}))\S+"), F.lit(1))
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{chars - 1}}}))(?:\S(?=\S{{{chars}}})|\S+)"), F.lit(1))
 
 
 def _least(hashes: str, seed: int) -> Column:

@@ -82,3 +82,11 @@ def test_odd_rows(odd, none):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out.collect())
     assert got == [(False, 1, "a b c"), (False, 1, "a b c"), (False, 2, ""), (False, 2, "d e f"), (False, 3, ""), (True, 0, "a b c")]
     assert deduped(none).count() == 0
+
+
+def test_long_words_count_whole(spark):
+    """Words and unspaced lines that are equal in their first characters only stay; those alike all along go."""
+    long = "".join(chr(0x4E00 + 37 * i) for i in range(60))
+    rows = [(0, "https://example.org/a"), (1, "https://example.org/zzz"), (2, "Andththwhwh."), (3, "Andththwhes."), (4, long), (5, long[:9] + long[:8:-1]), (6, long + "x"), (7, "see " + "0123456789" * 4), (8, "see " + "012345678" + "f" * 31)]
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: "" if i == 6 else t for i, t in rows}

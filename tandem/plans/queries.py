@@ -422,9 +422,20 @@ def flank_trim_distance(spark, sf_dir):
     select locus_id, query_name, haplotype, distance::int as distance from (select *, row_number() over (partition by locus_id, query_name order by distance, haplotype) as rn from d) where rn = 1""")
 def nearest_consensus(spark, sf_dir):
     s = V.sequences(spark, sf_dir)
+    return _nearest_of_two(s, s.where(F.col("query_name") % 2 == 1), F.substring("sequence", 1, 100), F.substring("sequence", 1, 120))
+
+
+@query()
+def nearest_consensus_whole(spark, sf_dir):
+    """As nearest_consensus, all reads and whole sequences; its SQL holds every second read and beginnings only."""
+    s = V.sequences(spark, sf_dir)
+    return _nearest_of_two(s, s, F.col("sequence"), F.col("sequence"))
+
+
+def _nearest_of_two(s, reads_, sequence, consensus):
     turn = F.row_number().over(Window.partitionBy("locus_id").orderBy("query_name"))
-    centres = s.withColumn("turn", turn).where("turn <= 2").select("locus_id", F.concat(F.lit("h"), F.col("turn").cast("string")).alias("haplotype"), F.substring("sequence", 1, 120).alias("consensus"), F.lit("spanning").alias("kind"))
-    flank = s.where(F.col("query_name") % 2 == 1).select("locus_id", "query_name", F.lit("left_flanking").alias("alignment_type"), F.substring("sequence", 1, 100).alias("sequence"))
+    centres = s.withColumn("turn", turn).where("turn <= 2").select("locus_id", F.concat(F.lit("h"), F.col("turn").cast("string")).alias("haplotype"), consensus.alias("consensus"), F.lit("spanning").alias("kind"))
+    flank = reads_.select("locus_id", "query_name", F.lit("left_flanking").alias("alignment_type"), sequence.alias("sequence"))
     return summary.nearest(flank, centres)
 
 

@@ -406,10 +406,19 @@ _PAIRS = f"""{V.V_SEQUENCES}, p as (select a.query_name as a, b.query_name as b,
 
 @query(f"with {_PAIRS} select a, b, len(ta)::int as len_a, len(tb)::int as len_b, levenshtein(ta, tb)::int as distance from t")
 def flank_trim_distance(spark, sf_dir):
-    s = V.sequences(spark, sf_dir)
+    return _flank_trim(V.sequences(spark, sf_dir), F.substring("sequence", 1, 200), F.substring("sequence", 1, 150))
+
+
+@query()
+def flank_trim_distance_whole(spark, sf_dir):
+    """As flank_trim_distance, whole sequences; its SQL holds beginnings only."""
+    return _flank_trim(V.sequences(spark, sf_dir), F.col("sequence"), F.col("sequence"))
+
+
+def _flank_trim(s, first, second):
     kinds = F.array(*[F.lit(x) for x in ("left_flanking", "spanning", "right_flanking")])
-    a = s.select(F.col("query_name").alias("a"), F.substring("sequence", 1, 200).alias("sa"))
-    b = s.select((F.col("query_name") - 1).alias("a"), F.col("query_name").alias("b"), F.substring("sequence", 1, 150).alias("sb"))
+    a = s.select(F.col("query_name").alias("a"), first.alias("sa"))
+    b = s.select((F.col("query_name") - 1).alias("a"), F.col("query_name").alias("b"), second.alias("sb"))
     p = a.join(b, "a").withColumn("ka", F.get(kinds, (F.col("a") % 3).cast("int"))).withColumn("kb", F.get(kinds, (F.floor(F.col("a") / 3) % 3).cast("int")))
     ta, tb = C.compare_pair(F.col("sa"), F.col("ka"), F.col("sb"), F.col("kb"))
     return p.select("a", "b", ta.alias("ta"), tb.alias("tb")).select("a", "b", F.length("ta").alias("len_a"), F.length("tb").alias("len_b"), F.levenshtein("ta", "tb").alias("distance"))

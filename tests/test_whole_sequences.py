@@ -37,3 +37,15 @@ def test_nearest_consensus(spark, tables):
         d, h = min((distance(x[: len(s[j][1])], s[j][1][: len(x)]), f"h{k}") for k, j in enumerate(two, 1))
         want.add((locus, i, h, d))
     assert {tuple(r) for r in QUERIES["nearest_consensus_whole"](spark, path).select("locus_id", "query_name", "haplotype", "distance").collect()} == want
+
+
+def test_flank_trim_distance(spark, tables):
+    path, s = tables
+    want = set()
+    for a in range(17):
+        (ka, kb), x, y = ("lsr"[a % 3], "lsr"[a // 3 % 3]), s[a][1], s[a + 1][1]
+        n = min(len(x), len(y))
+        cut = lambda z, own, other: {"l": z[:n], "r": z[-n:], "s": z}[own if own != "s" else other]  # noqa: B023, E731
+        x, y = cut(x, ka, kb), cut(y, kb, ka)
+        want.add((a, a + 1, len(x), len(y), distance(x, y)))
+    assert {tuple(r) for r in QUERIES["flank_trim_distance_whole"](spark, path).select("a", "b", "len_a", "len_b", "distance").collect()} == want

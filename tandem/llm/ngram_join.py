@@ -23,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.llm import kernels as K
-from tandem.llm.common import arrow_map, one_per_id, record, written
+from tandem.llm.common import WORD, arrow_map, one_per_id, record, written
 from tandem.llm.components import connected_components
 
 #: Most entries of the table of frequent shingles.
@@ -332,7 +332,22 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def one_per_component(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, that of the least id; the rest as in :func:`ngram_components`."""
-    classes = ngram_components(docs, k, percent)
-    stay = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__stay"))
-    return docs.join(stay, docs["doc_id"] == F.col("__stay"), "left_semi")
+    """``docs`` with one row of each component, that of the least id (rows without an id last, then by a hash of the text).
+
+    Rows count one by one, named by a 64-bit hash of id and text: of repeated rows one stays, rows of one id with different texts are
+    different documents, and rows without an id are held by their texts.  A text without words links with nothing: of such rows
+    those of one id and text are one, and all without an id stay.
+    """
+    id_, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
+    named = docs.withColumn("__key", F.xxhash64(id_, text))
+    own = named.select("__key", id_.alias("id"), text.alias("text"))
+    ids = own.groupBy("__key").agg(F.min("id").alias("id"))
+    classes = ngram_components(own, k, percent, id_col="__key").join(ids, F.col("doc_id") == F.col("__key"))
+    least = classes.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")).alias("least"))
+    kept = named.join(least.select(F.col("least.doc_id").alias("__stay")), F.col("__key") == F.col("__stay"), "left_semi")
+    lone = id_.isNull() & ~F.coalesce(F.rlike(text, F.lit(WORD)), F.lit(False))
+    if named.where(~lone).groupBy("__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        turn = Window.partitionBy("__key").orderBy(F.to_json(F.struct(*[docs[f"`{c}`"] for c in docs.columns])))
+        once = kept.where(~lone).withColumn("__turn", F.row_number().over(turn)).where(F.col("__turn") <= 1).drop("__turn")
+        kept = once.unionByName(kept.where(lone))
+    return kept.drop("__key")

@@ -57,3 +57,15 @@ def test_odd_rows(odd, none):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(odd).collect()}
     assert got == {1: (1, 1), 2: (1, 2), 3: (0, 3)}
     assert ngram_components(none).count() == 0
+
+
+def test_one_stays_of_odd_rows(spark, odd, none):
+    """Rows without an id, repeated rows and ids with several texts."""
+    tail = " ".join(f"t{i}" for i in range(40))
+    rows = [(None, "x " + tail, "a"), (5, "z " + tail, "b"), (5, "only this", "c"), (5, "only this", "c"), (7, "only this", "d"), (None, "clean text", "e"), (None, "clean text", "f"), (None, None, "g"), (None, "", "h"), (None, "", "i"), (9, "", "j"), (9, "", "j"), (10, "", "k")]
+    out = one_per_component(spark.createDataFrame(rows, "doc_id long, text string, more string").repartition(3))
+    got = {tuple(r) for r in out.collect()}
+    assert out.count() == len(got) and out.columns == ["doc_id", "text", "more"]
+    assert got == {rows[i] for i in (1, 2, 5, 7, 8, 9, 10, 12)}
+    assert sorted((r.doc_id, r.text or "") for r in one_per_component(odd).collect()) == [(1, "a b c"), (2, ""), (2, "d e f"), (3, "")]
+    assert one_per_component(none).count() == 0

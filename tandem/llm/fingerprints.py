@@ -20,7 +20,7 @@ from tandem.llm.common import arrow_map, int_lists, one_per_id, record
 from tandem.llm.ranges import bounds, part_of, parts_for
 from tandem.shipping import ship
 
-SCALE = 16
+SCALE = 2
 
 
 def _under(scale: int) -> np.uint64:

@@ -54,3 +54,15 @@ def test_single_and_odd(spark, odd, none):
     assert len(one) == 1 and one[0].edited_sha256 == hashlib.sha256(b"abcdabc").hexdigest()
     assert sorted(r.doc_id for r in fp.edits(odd).collect()) == [1, 2, 3]
     assert fp.edits(none).count() == 0
+
+
+def test_estimates_of_short_texts():
+    """Texts of 50 to 250 words against themselves with the end replaced, held against the exact similarity."""
+    r = np.random.default_rng(2)
+    off = []
+    for n in r.integers(50, 251, 400).tolist():
+        w = [f"x{v}" for v in r.integers(0, 10**9, 2 * n)]
+        a, b = " ".join(w[:n]), " ".join(w[: n // 2] + w[n : 2 * n - n // 2])
+        x, y = (K.shingles(K.Texts.of([t.encode()]))[0] for t in (a, b))
+        off.append(abs(fp.likeness(sketch(a), sketch(b)) - fp.likeness(x, y)))
+    assert np.mean(off) < 0.04 and max(off) < 0.2

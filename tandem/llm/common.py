@@ -31,11 +31,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tandem-{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which a query's shuffle files go when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: lineage ends there, lost executors don't matter."""
+    """``df`` written as Parquet in the shared folder and read again: lineage ends there, lost executors don't matter.
+
+    The shuffle files of this one write go as soon as it has ended: nothing reads them again.
+    """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner free the shuffle files of what has just ended
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,23 +1,27 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-Lines are what newlines separate, compared without white space at both ends.  A line's shingles are the character runs of up to
-``CHARS`` characters that begin at each word's start and, in words longer than that, at every place from which ``CHARS`` characters
-of the word are left: each character is in a shingle, and text without white space has one at every place.  The distinct shingles' 64-bit hashes give ``2 * BANDS`` minima under
-exclusive-or with fixed words (each word orders random hashes anew), two a band; lines of Jaccard similarity 0.8 share a band
-with probability 1 - (1 - 0.64) ** 5 = 0.994, of 0.9 with 0.9998.
+Lines are what newlines separate, compared without white space at both ends.  A line's shingles are the runs of ``CHARS`` characters
+at *every* place (a shorter line is one shingle): the line goes to four bytes a character, so a shingle is a slice of bytes, hashed to
+64 bits.  ``ROWS * BANDS`` minima of the hashes under exclusive-or with fixed words (each word orders random hashes anew) give a band
+key for each ``ROWS`` of them; lines of Jaccard similarity 0.8 share a band with probability 1 - (1 - 0.8 ** 3) ** 7 = 0.993, of 0.85 with
+0.9987.  Shingles are rows of a generator that whole-stage code reads, one after another, into the minima of their line; no array of
+them is made.
 
 1. Equal lines are one node, named by a 64-bit hash, with its first place; sums before the shuffle make hot lines harmless.
-2. Each bucket of a band pairs its nodes with one of them only, chosen by hash, and where that leaves several components with
-   ``REPS - 1`` others.  Pairs are verified by exact Jaccard similarity of the shingle sets (as 32-bit hashes, which differ for
-   different shingles of two lines but for one pair in a million), and links give components by distributed union-find.
-3. Nodes of one bucket that are still in different components are paired, verified and joined in.  Pairs inside a component
-   need no check, so no link is lost and a bucket of n variants of a line costs n pairs.
+2. Each bucket of a band pairs its nodes with one of them: that which shares most buckets with others, so mostly the text that the
+   others are edits of.  Pairs are verified by exact Jaccard similarity of all shingles, and links give components by distributed
+   union-find.  Where that leaves a bucket in several components, its nodes are held against ``REPS`` more, chosen by hash.
+3. Pairs of one bucket that are still in different components are looked at through a longer signature of ``LONG`` minima, made for
+   these lines alone: those that agree in less than ``AGREE`` of them (which lines of similarity 0.8 do with probability 0.0005) are
+   dropped inside the join, the others verified and joined in.  Pairs inside a component need no check.
 4. Of each component the line of the earliest place stays.  Places of lines that *stay* go back to their documents, one a
    component; every other line of a document that isn't blank goes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,38 +29,67 @@ from tandem.llm.common import written
 from tandem.llm.components import connected_components
 
 CHARS = 9
-BANDS = 5
-#: Nodes of a bucket that all its others are held against first.
-REPS = 4
-#: Words for the exclusive-or: multiples of an odd constant.
-SEEDS = [((i + 1) * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63) for i in range(2 * BANDS)]
+BANDS, ROWS = 7, 3
+#: Nodes of a bucket that all its others are held against, after the first.
+REPS = 3
+#: Minima of the longer signature, and how many of them a pair must share to be verified.
+LONG, AGREE = 64, 41
+#: Pairs that a task verifies.
+VERIFY = 2000
+BLANKS = "X'20', X'09', X'0B', X'0C', X'0D'"
 
 
-def shingles(line: Column, chars: int = CHARS) -> Column:
-    """Distinct hashes of a line's shingles."""
-    return F.array_distinct(F.transform(_pieces(line, chars), lambda x: F.xxhash64(x)))
+def seeds(n: int, of: int = 0) -> list[int]:
+    """Words for the exclusive-or: multiples of an odd constant."""
+    return [((i + 1 + of) * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63) for i in range(n)]
 
 
-def _pieces(line: Column, chars: int = CHARS) -> Column:
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{chars - 1}}}))(?:\S(?=\S{{{chars}}})|\S+)"), F.lit(1))
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, at, line): lines that aren't blank, without white space at both ends."""
+    cut = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    return cut.select("doc_id", "at", _stripped("line").alias("line")).where("line <> ''")
 
 
-def _least(hashes: str, seed: int) -> Column:
-    return F.array_min(F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(seed))))
+def _stripped(line: str) -> Column:
+    """Without white space at both ends; the pattern only runs where there is some."""
+    edge = F.expr(f"substring(cast({line} as binary), 1, 1) in ({BLANKS}) or substring(cast({line} as binary), -1, 1) in ({BLANKS})")
+    return F.when(edge, F.regexp_replace(line, r"^\s+|\s+$", "")).otherwise(F.col(line))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, line): lines that aren't blank, without white space at both ends."""
-    cut = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    return cut.select("doc_id", "at", F.regexp_replace("line", r"^\s+|\s+$", "").alias("line")).where("line <> ''")
+def shingled(lines: DataFrame, *keep: str, line: str = "line") -> DataFrame:
+    """(keep..., p, x): the place (from 1, by four) and hash of each shingle of each line."""
+    width = 4 * CHARS
+    b = lines.select(*keep, F.encode(line, "UTF-32").alias("__b"))
+    at = b.select(*keep, "__b", F.explode(F.sequence(F.lit(1), F.greatest(F.length("__b") - width + 1, F.lit(1)), F.lit(4))).alias("p"))
+    return at.select(*keep, "p", F.xxhash64(F.substring("__b", F.col("p"), F.lit(width))).alias("x"))
 
 
-def _signed(lines: DataFrame) -> DataFrame:
-    """Adds the line's hash, the size of its shingle set and its band keys."""
-    s = lines.select("doc_id", "at", F.xxhash64("line").alias("h"), shingles(F.col("line")).alias("s"))
-    least = [_least("s", seed).alias(f"m{i}") for i, seed in enumerate(SEEDS)]
-    s = s.select("doc_id", "at", "h", F.size("s").alias("n"), *least)
-    return s.select("doc_id", "at", "h", "n", *[F.xxhash64(F.lit(i), f"m{2 * i}", f"m{2 * i + 1}").alias(f"b{i}") for i in range(BANDS)])
+def _minima(n: int, of: int = 0) -> list[Column]:
+    return [F.min(F.col("x").bitwiseXOR(F.lit(s))).alias(f"m{i}") for i, s in enumerate(seeds(n, of))]
+
+
+def _nodes(own: DataFrame) -> DataFrame:
+    """(h, doc_id, at, b0...): distinct lines with their first place and band keys.
+
+    The first place travels as one number that sorts like (doc_id, at), with a line's first shingle only.
+    """
+    place = (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("at")).alias("place")
+    lines = _lines(own).select(F.xxhash64("line").alias("h"), place, "line")
+    made = shingled(lines, "h", "place").withColumn("place", F.when(F.col("p") == 1, F.col("place")))
+    s = made.groupBy("h").agg(F.min("place").alias("place"), *_minima(ROWS * BANDS))
+    at = F.pmod("place", F.lit(1 << 31).cast("decimal(10,0)"))
+    keys = [F.xxhash64(F.lit(i), *[f"m{ROWS * i + j}" for j in range(ROWS)]).alias(f"b{i}") for i in range(BANDS)]
+    return s.select("h", ((F.col("place") - at) / F.lit(1 << 31).cast("decimal(10,0)")).cast("long").alias("doc_id"), at.cast("int").alias("at"), *keys)
+
+
+def _texts(own: DataFrame, nodes: DataFrame, h: DataFrame) -> DataFrame:
+    """(h, line) of the given lines, read from the documents in which they stand first."""
+    wanted = h.join(nodes.select("h", "doc_id", "at"), "h").groupBy("doc_id").agg(F.collect_list(F.struct("at", "h")).alias("wanted"))
+    lines = own.join(wanted, "doc_id").select(F.split("text", "\n", -1).alias("lines"), "wanted")
+    # the array of lines is made once a text, below the explode
+    one = lines.select(F.explode(F.transform("wanted", lambda w: F.struct(w["h"].alias("h"), F.get("lines", w["at"]).alias("line")))).alias("w")).select("w.h", "w.line")
+    # where rows repeat an id the place may hold another line
+    return one.select("h", _stripped("line").alias("line")).where(F.xxhash64("line") == F.col("h"))
 
 
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
@@ -66,11 +99,64 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return both.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
 
 
-def _edges(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose shingle sets are similar enough."""
-    a, b = sets.select(F.col("h").alias("u"), F.col("s").alias("su")), sets.select(F.col("h").alias("v"), F.col("s").alias("sv"))
-    both = pairs.join(a, "u").join(b, "v").withColumn("both", F.size(F.array_intersect("su", "sv")))
-    return written(both.where(100 * F.col("both") >= percent * (F.size("su") + F.size("sv") - F.col("both"))).select("u", "v"))
+def _edges(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sets of shingles are similar enough: shingles of both sides are grouped where the pair is."""
+    pairs = written(pairs)
+    a, b = (texts.select(F.col("h").alias(c), F.col("line").alias(f"line_{c}")) for c in ("u", "v"))
+    parts = max(1, -(-pairs.count() // VERIFY))
+    dealt = pairs.join(a, "u").join(b, "v").repartition(parts, "u", "v")
+    side = lambda own, c: F.struct(F.lit(own).alias("own"), F.col(f"line_{c}").alias("line"))
+    sides = dealt.select("u", "v", F.explode(F.array(side(1, "u"), side(2, "v"))).alias("s")).select("u", "v", "s.own", "s.line")
+    x = shingled(sides, "u", "v", "own").groupBy("u", "v", "x").agg(F.bit_or("own").alias("own"))
+    n = x.groupBy("u", "v").agg(F.sum(F.when(F.col("own") == 3, 1).otherwise(0)).alias("both"), F.count(F.lit(1)).alias("either"))
+    return written(n.where(100 * F.col("both") >= percent * F.col("either")).select("u", "v"))
+
+
+def _pairs(members: DataFrame, reps: list[str]) -> DataFrame:
+    pairs = members.select("h", F.explode(F.array_distinct(F.array(*reps))).alias("rep")).where("h <> rep")
+    return pairs.select(F.least("h", "rep").alias("u"), F.greatest("h", "rep").alias("v")).distinct()
+
+
+def components(own: DataFrame, nodes: DataFrame, percent: int) -> DataFrame | None:
+    """(h, component) of the lines that are linked with others."""
+    banded = nodes.select("h", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    members = written(banded.join(shared, "bucket"))
+    score = members.groupBy("h").agg(F.sum("k").alias("score"))
+    best = members.join(score, "h").groupBy("bucket").agg(F.max(F.struct("score", "h")).alias("best"), *[F.min_by("h", F.xxhash64("h", F.lit(i))).alias(f"r{i}") for i in range(REPS)])
+    members = written(members.drop("k").join(best.select("bucket", F.col("best.h").alias("best"), *[f"r{i}" for i in range(REPS)]), "bucket"))
+    texts = written(_texts(own, nodes, members.select("h").distinct()))
+
+    links = _edges(_pairs(members, ["best"]), texts, percent)
+    label, open_ = _open(members, links)
+    more = _edges(_apart(_pairs(open_, [f"r{i}" for i in range(REPS)]), label), texts, percent)
+    if more.limit(1).count():
+        links = links.unionByName(more)
+        label, open_ = _open(open_, links)
+    rest = _edges(_far(open_, texts), texts, percent)
+    if rest.limit(1).count():
+        label = written(connected_components(links.unionByName(rest)).withColumnRenamed("node", "h"))
+    return label
+
+
+def _open(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components of the links, and the members of buckets that are in several, with their component."""
+    label = written(connected_components(links).withColumnRenamed("node", "h"))
+    placed = written(members.drop("comp").join(label, "h", "left").select(*[c for c in members.columns if c != "comp"], F.coalesce("component", "h").alias("comp")))
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    return label, written(placed.join(mixed, "bucket", "left_semi"))
+
+
+def _far(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of nodes of one bucket in different components whose longer signatures agree enough."""
+    long = shingled(texts.join(open_.select("h").distinct(), "h"), "h").groupBy("h").agg(*_minima(LONG, ROWS * BANDS))
+    long = written(long.select("h", *[F.shiftright(f"m{i}", 32).cast("int").alias(f"m{i}") for i in range(LONG)]))
+    some = open_.select("bucket", "h", "comp").join(long, "h")
+    side = lambda c: some.select("bucket", F.col("h").alias(c), F.col("comp").alias(f"c{c}"), *[F.col(f"m{i}").alias(f"{c}{i}") for i in range(LONG)])
+    same = reduce(lambda x, y: x + y, [F.when(F.col(f"u{i}") == F.col(f"v{i}"), 1).otherwise(0) for i in range(LONG)])
+    a, b = side("u"), side("v")
+    met = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("cu") < F.col("cv")) & (same >= AGREE))
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -86,44 +172,12 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     gives an empty table.  Other columns go through, whatever their names.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    places = _signed(_lines(own))
-    nodes = written(places.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.min("n").alias("n"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)]))
-    banded = nodes.select("h", "n", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("bucket"))
-    reps = [F.min_by("h", F.xxhash64("h", F.lit(i))).alias(f"r{i}") for i in range(REPS)]
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), *reps).where("k > 1").drop("k")
-    members = written(banded.join(shared, "bucket"))
-
-    wanted = members.select("h").distinct().join(nodes.select("h", "first.*"), "h").groupBy("doc_id").agg(F.collect_list(F.struct("at", "h")).alias("wanted"))
-    lines = own.join(wanted, "doc_id").select(F.split("text", "\n", -1).alias("lines"), "wanted")
-    # the array of lines is made once a text, below the explode
-    sets = lines.select(F.explode(F.transform("wanted", lambda w: F.struct(w["h"].alias("h"), F.get("lines", w["at"]).alias("line")))).alias("w"))
-    sets = sets.select("w.h", F.regexp_replace("w.line", r"^\s+|\s+$", "").alias("line")).where(F.xxhash64("line") == F.col("h"))
-    sets = written(sets.select("h", F.array_distinct(F.transform(_pieces(F.col("line")), lambda x: F.hash(x))).alias("s")))
-
-    # first one representative a bucket; the others only for buckets that it leaves in several components
-    label, links, open_, rounds = None, None, members, ([0], range(1, REPS))
-    for turn in rounds:
-        pairs = open_.select("h", F.explode(F.array_distinct(F.array(*[f"r{i}" for i in turn]))).alias("rep")).where("h <> rep")
-        pairs = pairs.select(F.least("h", "rep").alias("u"), F.greatest("h", "rep").alias("v")).distinct()
-        if label is not None:
-            pairs = _apart(pairs, label)
-        new = _edges(pairs, sets, percent)
-        links = new if links is None else links.unionByName(new)
-        label = written(connected_components(links).withColumnRenamed("node", "h"))
-        placed = written(members.join(label, "h", "left").select(*members.columns, F.coalesce("component", "h").alias("comp")))
-        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        open_ = placed.join(mixed, "bucket", "left_semi")
-    some = written(open_)
-    a, b = some.select("bucket", F.col("h").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu")), some.select("bucket", F.col("h").alias("v"), F.col("n").alias("nv"), F.col("comp").alias("cv"))
-    far = a.join(b, "bucket").where("cu < cv").where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")).select("u", "v").distinct()
-    more = _edges(far, sets, percent)
-    if more.limit(1).count():
-        label = written(connected_components(links.unionByName(more)).withColumnRenamed("node", "h"))
-
-    grouped = label.join(nodes.select("h", "first"), "h")
+    nodes = written(_nodes(own))
+    label = components(own, nodes, percent)
+    grouped = label.join(nodes.select("h", F.struct("doc_id", "at").alias("first")), "h")
     keeper = grouped.groupBy("component").agg(F.min("first").alias("keep"))
     losers = grouped.join(keeper, "component").where("first <> keep").select("h")
-    stay = nodes.join(losers, "h", "left_anti").select(F.col("first.doc_id").alias("__id"), F.col("first.at").alias("at")).groupBy("__id").agg(F.collect_list("at").alias("__stay"))
+    stay = nodes.join(losers, "h", "left_anti").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("at").alias("__stay"))
 
     row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"), docs["doc_id"].cast("long").alias("__key"), docs["text"].cast("string").alias("__text"))
     cut = row.join(stay, F.col("__key") == F.col("__id"), "left")

@@ -6,7 +6,7 @@ from tandem.llm.line_dedup import CHARS, deduped, line_dedup
 
 def shingles(line):
     s = line.strip()
-    return {s[m.start() : m.start() + CHARS] for m in re.finditer(r"(?<!\S)\S", s)}
+    return {s[i : i + CHARS] for i in range(max(1, len(s) - CHARS + 1))}
 
 
 def brute(rows, percent=80):
@@ -55,15 +55,32 @@ def corpus():
             if r.random() < 0.2:
                 lines.append(r.choice(["", "   "]))
         rows.append((i * 7 % 53, "\n".join(lines)))
+    unspaced = ["".join(r.choice("天地玄黄宇宙洪荒日月盈昃😀") for _ in range(r.randrange(5, 150))) for _ in range(12)]
+    unspaced += [f"https://example.org/{word()}/{word()}?q={word()}" for _ in range(12)]
+    for i in range(100, 130):
+        t = list(r.choice(unspaced))
+        for _ in range(r.randrange(0, 3)):
+            t[r.randrange(len(t))] = r.choice("xyz日")
+        rows.append((i, "".join(t)))
     return rows + [(90, None), (91, ""), (92, "\n\n"), (93, "é ü ß\né ü ß"), (94, " ".join(word() for _ in range(3000)))]
 
 
 def test_equals_brute_force(spark):
+    """Nothing goes that exact comparison of all pairs keeps; of what it takes out, banding may miss one line in a hundred."""
     rows = corpus()
     got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
     want = brute(rows)
-    differ = [i for i in want if got[i] != want[i]]
-    assert not differ, (differ, got[differ[0]], want[differ[0]])
+    gone = missed = 0
+    for i, t in rows:
+        if t is None:
+            assert got[i] is None
+            continue
+        mine, right = got[i].split("\n"), want[i].split("\n")
+        gone += len(t.split("\n")) - len(right)
+        left = iter(mine)
+        assert all(any(x == y for y in left) for x in right if x), (i, mine, right)
+        missed += len([x for x in mine if x.strip()]) - len([x for x in right if x.strip()])
+    assert gone > 100 and missed <= gone / 100
 
 
 def test_counts(spark):

@@ -108,6 +108,11 @@ def quality_text(qualities: Column) -> Column:
     return F.array_join(F.transform(qualities, lambda q: F.chr(F.greatest(q, F.lit(0)) + 33)), "")
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is made once: the expression stands in the plan once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def trim(values: Column, left: Column, right: Column) -> Column:
     """An array without ``left`` items at its start and ``right`` at its end."""
     return F.slice(values, left + 1, F.greatest(F.size(values) - left - right, F.lit(0)))
@@ -122,6 +127,12 @@ def low_quality_trim(qualities: Column, window: int = 10, least: int = 17, most:
 
     A window at the end leaves out the bases cut so far and one more, so the last base is never part of it.
     """
+    ends = let(qualities, lambda q: low_quality_ends(q, window, least, most))
+    return ends["left"], ends["right"]
+
+
+def low_quality_ends(qualities: Column, window: int = 10, least: int = 17, most: int = 50) -> Column:
+    """:func:`low_quality_trim` as a struct (left, right)."""
     n = F.size(qualities)
     at = F.sequence(F.lit(0), F.lit(most - 1))
     good = lambda part: F.when(F.size(part) > 0, F.array_min(part) >= least).otherwise(F.lit(False))
@@ -133,9 +144,13 @@ def low_quality_trim(qualities: Column, window: int = 10, least: int = 17, most:
         return F.slice(qualities, first + 1, F.greatest(last - first, F.lit(0)))
 
     end = F.filter(at, lambda j: good(before(j)))
-    a, b = F.coalesce(F.get(start, 0), F.lit(0)), F.coalesce(F.get(end, 0), F.lit(0))
-    a, b = F.when(n > 0, a).otherwise(0), F.when(n > 0, b).otherwise(0)
-    return F.when(a + b >= n, 0).otherwise(a), F.when(a + b >= n, 0).otherwise(b)
+    first = lambda places: F.when(n > 0, F.coalesce(F.get(places, F.lit(0)), F.lit(0))).otherwise(0)
+
+    def both(cut):
+        some = cut["left"] + cut["right"] < n
+        return F.struct(F.when(some, cut["left"]).otherwise(0).alias("left"), F.when(some, cut["right"]).otherwise(0).alias("right"))
+
+    return let(F.struct(first(start).alias("left"), first(end).alias("right")), both)
 
 
 def compare_pair(a: Column, kind_a: Column, b: Column, kind_b: Column) -> tuple[Column, Column]:

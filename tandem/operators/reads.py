@@ -49,16 +49,16 @@ def primary_alignments(alignments: DataFrame, candidates: DataFrame) -> DataFram
 def trim_reads(reads: DataFrame, c: Config = Config()) -> DataFrame:
     """Cuts soft-clipped bases (``max_trim`` at most a side), then bases of low quality at both ends."""
     left, right = F.least("n_soft_clipped_left", F.lit(c.max_trim)), F.least("n_soft_clipped_right", F.lit(c.max_trim))
-    r = reads.select(
-        *[x for x in reads.columns if x not in ("sequence", "qualities", "mod_5mc_probs", "n_soft_clipped_left", "n_soft_clipped_right")],
-        C.trim_text(F.col("sequence"), left, right).alias("sequence"), C.trim(F.col("qualities"), left, right).alias("qualities"),
-        C.trim_text(F.col("mod_5mc_probs"), left, right).alias("mod_5mc_probs"),
-        (F.col("n_soft_clipped_left") - left).alias("n_soft_clipped_left"), (F.col("n_soft_clipped_right") - right).alias("n_soft_clipped_right"),
-    )
-    a, b = C.low_quality_trim(F.col("qualities"), c.trim_window_size, c.min_end_qual, c.max_trim)
-    r = r.withColumn("__a", a).withColumn("__b", b)
-    r = r.withColumn("sequence", C.trim_text(F.col("sequence"), F.col("__a"), F.col("__b"))).withColumn("mod_5mc_probs", C.trim_text(F.col("mod_5mc_probs"), F.col("__a"), F.col("__b")))
-    return r.withColumn("qualities", C.trim(F.col("qualities"), F.col("__a"), F.col("__b"))).drop("__a", "__b").select(*reads.columns)
+    cut = C.let(F.struct(left.alias("l"), right.alias("r"), C.trim(F.col("qualities"), left, right).alias("q")), lambda s: C.let(
+        C.low_quality_ends(s["q"], c.trim_window_size, c.min_end_qual, c.max_trim),
+        lambda e: F.struct(s["l"].alias("l"), s["r"].alias("r"), (s["l"] + e["left"]).alias("a"), (s["r"] + e["right"]).alias("b"))))
+    r = reads.withColumn("__cut", cut)
+    a, b = F.col("__cut.a"), F.col("__cut.b")
+    new = {
+        "sequence": C.trim_text(F.col("sequence"), a, b), "qualities": C.trim(F.col("qualities"), a, b), "mod_5mc_probs": C.trim_text(F.col("mod_5mc_probs"), a, b),
+        "n_soft_clipped_left": F.col("n_soft_clipped_left") - F.col("__cut.l"), "n_soft_clipped_right": F.col("n_soft_clipped_right") - F.col("__cut.r"),
+    }
+    return r.select(*[new[x].alias(x) if x in new else F.col(x) for x in reads.columns])
 
 
 def unique_names(reads: DataFrame, *order: str) -> DataFrame:
@@ -72,15 +72,17 @@ def kmer_error_rate(reads: DataFrame, k: int = Config.error_kmer) -> DataFrame:
 
     The share of a read's k-mers that no other read of its locus has, by k and its length.  A k-mer is another's if two reads have
     it, so one count of reads a k-mer does what comparing all pairs of reads would do.  0 for an empty read or the only one.
-    K-mers are first counted in their read; what is shuffled by k-mer is its hash, the read and that count.
+    A k-mer and its locus are one 64-bit hash, a read another; a k-mer's least and greatest read and its number of places are summed
+    before the one shuffle by k-mer, and where least and greatest are the same no other read has it.
     """
-    own = reads.select("locus_id", "query_name", "sequence")
-    n = own.select("locus_id", "query_name", F.length("sequence").alias("length"))
+    own = reads.select("locus_id", "query_name", "sequence", F.xxhash64("locus_id", "query_name").alias("__read"))
+    n = own.select("locus_id", "query_name", "__read", F.length("sequence").alias("length"))
     others = own.groupBy("locus_id").agg(F.count(F.lit(1)).alias("reads"))
-    parts = own.select("locus_id", "query_name", F.explode(C.kmers(F.col("sequence"), k)).alias("kmer"))
-    by_read = parts.groupBy("locus_id", "kmer", "query_name").agg(F.count(F.lit(1)).alias("times"))
-    unique = by_read.groupBy("locus_id", "kmer").agg(F.count(F.lit(1)).alias("in_reads"), F.min("query_name").alias("query_name"), F.sum("times").alias("times")).where("in_reads = 1")
-    wrong = unique.groupBy("locus_id", "query_name").agg(F.sum("times").alias("wrong"))
-    out = n.join(others, "locus_id").join(wrong, ["locus_id", "query_name"], "left")
+    whole = own.where(F.length("sequence") >= k).select("locus_id", "__read", F.col("sequence").cast("binary").alias("__b"))
+    at = whole.select("locus_id", "__read", "__b", F.explode(F.sequence(F.lit(1), F.length("__b") - k + 1)).alias("__at"))
+    parts = at.select("__read", F.xxhash64("locus_id", F.substring("__b", F.col("__at"), F.lit(k))).alias("kmer"))
+    seen = parts.groupBy("kmer").agg(F.min("__read").alias("__read"), F.max("__read").alias("last"), F.count(F.lit(1)).alias("times"))
+    wrong = seen.where(F.col("__read") == F.col("last")).groupBy("__read").agg(F.sum("times").alias("wrong"))
+    out = n.join(others, "locus_id").join(wrong, "__read", "left")
     rate = F.when((F.col("length") == 0) | (F.col("reads") < 2), F.lit(0.0)).otherwise(F.coalesce("wrong", F.lit(0)) / k / F.col("length"))
     return out.select("locus_id", "query_name", rate.alias("str_error_rate"))

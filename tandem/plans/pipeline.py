@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Iterable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +15,9 @@ from tandem.operators import consensus as consensus_
 from tandem.operators import genotype, qc, summary, vcf
 from tandem.operators import reads as reads_
 from tandem.sources import bam, files
+from tandem.tables import written
+
+log = logging.getLogger("tandem")
 
 
 def load_loci(spark: SparkSession, catalogue: str, fasta: str, subset: Iterable[str] | None = None, c: Config = Config()) -> DataFrame:
@@ -41,21 +44,23 @@ def reads_at(alignments: DataFrame, loci: DataFrame, c: Config = Config()) -> Da
 def genotype_reads(reads: DataFrame, loci: DataFrame, sex: str = "XX", c: Config = Config()) -> dict[str, DataFrame]:
     """The result tables of reads at their loci: reads, filtered_reads, consensus, haplotypes, summary, par_summary.
 
-    Aligned reads, checked and labelled calls, the genotype table and both consensus tables are each used several times and kept on
-    disk in two copies, so a lost executor costs nothing; every other step is one plan.
+    Reads, aligned reads, checked and labelled calls, the genotype table and both consensus tables are each used several times: they
+    end in tables of the shared folder, so plans stay small and a lost executor costs one step.
     """
-    keep = StorageLevel.DISK_ONLY_2
-    aligned = calls_.align(reads, loci).persist(keep)
+    reads, loci = written(reads), written(loci)
+    aligned = written(calls_.align(reads, loci))
+    log.debug("reads are aligned")
     depth = reads.join(loci.select("locus_id", "chrom"), "locus_id").select("locus_id", "chrom")
     ploidy = qc.depth_ploidy(depth, sex, c)
-    checked = qc.outliers(calls_.read_calls(aligned, loci, c), c).persist(keep)
+    checked = written(qc.outliers(written(calls_.read_calls(aligned, loci, c)), c))
     good, bad = checked.where(F.size("outlier_reasons") == 0), checked.where(F.size("outlier_reasons") > 0)
-    found = genotype.genotype_loci(good, ploidy, c).persist(keep)
-    labelled = genotype.label_reads(good, found)
-    first = consensus_.consensus_calls(consensus_.consensus(labelled), loci).persist(keep)
-    labelled = consensus_.relabel_flanking(labelled, first).persist(keep)
-    final = consensus_.consensus_calls(consensus_.consensus(labelled), loci).persist(keep)
-    all_reads = labelled.unionByName(bad.withColumn("locus_id", F.col("locus_id").cast("string")))
+    found = written(genotype.genotype_loci(good, ploidy, c))
+    log.debug("%d loci are genotyped", found.count())
+    labelled = written(genotype.label_reads(good, found))
+    first = written(consensus_.consensus_calls(written(consensus_.consensus(labelled)), loci))
+    labelled = written(consensus_.relabel_flanking(labelled, first))
+    final = written(consensus_.consensus_calls(written(consensus_.consensus(labelled)), loci))
+    all_reads = written(labelled.unionByName(bad.withColumn("locus_id", F.col("locus_id").cast("string"))))
     units = files.units_of(loci).select("locus_id", "idx", "satellite")
     return {
         "reads": all_reads,
@@ -83,7 +88,8 @@ def run(spark: SparkSession, bam_path: str, fasta: str, catalogue: str, out: str
     from tandem.operators import report
 
     bam.register(spark)
-    loci = load_loci(spark, catalogue, fasta, subset, c).persist(StorageLevel.DISK_ONLY_2)
+    loci = written(load_loci(spark, catalogue, fasta, subset, c))
+    log.debug("%d loci", loci.count())
     alignments = spark.read.format("bam").load(bam_path)
     result = genotype_reads(reads_at(alignments, loci, c), loci, sex, c)
     for name in ("reads", "filtered_reads", "consensus", "haplotypes", "summary", "par_summary"):
@@ -95,5 +101,7 @@ def run(spark: SparkSession, bam_path: str, fasta: str, catalogue: str, out: str
         lines = vcf.records(alleles, files.units_of(loci), files.read_fasta(spark, fasta), order, cons, with_contracted)
         vcf.write(lines, alleles, order, vcf_path, sample, fasta)
     os.makedirs(out, exist_ok=True)
-    report.write(result, f"{out}/report.html", sample)
+    log.debug("tables and variants are written")
+    report.write(result, f"{out}/report.html", sample, loci)
+    log.debug("the report is written")
     return result

@@ -1,7 +1,6 @@
 """From a simulated genome and alignments to tables, variants and a report."""
 
 import json
-import os
 import random
 
 import bamfile
@@ -46,16 +45,11 @@ def world(tmp_path_factory):
     return d
 
 
-#: The whole run from files is some minutes of many small jobs: TANDEM_SLOW=1 turns it on.
-slow = pytest.mark.skipif(not os.environ.get("TANDEM_SLOW"), reason="slow; set TANDEM_SLOW=1")
-
-
 @pytest.fixture(scope="module")
 def result(spark, world):
     return pipeline.run(spark, str(world / "r.bam"), str(world / "g.fa"), str(world / "c.json"), str(world / "out"), str(world / "v.vcf"), "s1", with_consensus=True, with_contracted=True)
 
 
-@slow
 def test_reads(result):
     rows = {(r.locus_id, r.query_name): r for r in result["reads"].collect()}
     assert rows["ONE", "one0"].kmer_count == [10] and rows["ONE", "one20"].kmer_count == [17]
@@ -67,7 +61,6 @@ def test_reads(result):
     assert {rows["TWO", f"two{i}"].haplotype for i in range(16)} == {"hom"}
 
 
-@slow
 def test_tables(result):
     tests = {r.locus_id: r for r in result["summary"].collect()}
     assert tests["ONE"].is_significant and not tests["TWO"].is_significant
@@ -80,7 +73,6 @@ def test_tables(result):
     assert c["ONE", "h2"].contracted == "17(CAG)" and c["TWO", "hom"].contracted == "9(GAA)-1(TTC)-4(CCG)"
 
 
-@slow
 def test_files(result, world, spark):
     lines = (world / "v.vcf").read_text().splitlines()
     assert lines[0] == "##fileformat=VCFv4.2" and "##ALT=<ID=STR17,Description=\"Short Tandem Repeat with 17 repeat units\">" in lines

@@ -7,14 +7,13 @@ deep it is sequenced.
 
 from __future__ import annotations
 
-import itertools
 import math
 from dataclasses import dataclass, field
 
 import numpy as np
 
 from tandem.config import Config
-from tandem.functions.numeric import CHI2_95_1, chi2_sf, log_ndtr, minimise, root
+from tandem.functions.numeric import CHI2_95_1, chi2_sf, log_ndtr, root
 
 HALF = math.log(0.5)
 #: What an impossible count is worth, and the least distance of two neighbouring tails (both fixed by the model).
@@ -38,12 +37,17 @@ def spanning_log_pmf(x: np.ndarray, mean: np.ndarray, unit_var: np.ndarray, min_
     return log_pmf(x, mean[None, :], unit_var[None, :], min_sd).sum(1)
 
 
-def cut_log_pmf(x: np.ndarray, mean: float, unit_var: float, min_sd: float = Config.min_sd) -> np.ndarray:
-    """Log mass of counts at which a flanking read was cut off: flat under the rounded mean, the normal's from there on."""
-    split = int(np.round(mean))
-    top = int(np.ceil(mean + 5 * np.sqrt(mean * unit_var)))
-    at_split = math.exp(log_pmf(np.array([split]), mean, unit_var, min_sd)[0])
-    total = np.exp(log_pmf(np.arange(split, top + 1), mean, unit_var, min_sd)).sum() + (at_split * (split - 1) if split > 0 else 0.0)
+def cut_log_pmf(x: np.ndarray, mean, unit_var, min_sd: float = Config.min_sd) -> np.ndarray:
+    """Log mass of counts at which a flanking read was cut off: flat under the rounded mean, the normal's from there on.
+
+    Masses of neighbouring counts add up to a difference of two tails, so the total takes no sum.
+    """
+    mean, unit_var = np.asarray(mean, float), np.asarray(unit_var, float)
+    split, top = np.round(mean), np.ceil(mean + 5 * np.sqrt(mean * unit_var))
+    sd = np.maximum(np.sqrt(mean * unit_var), min_sd)
+    at_split = np.exp(log_pmf(split, mean, unit_var, min_sd))
+    above = np.exp(log_ndtr((top + 0.5 - mean) / sd)) - np.exp(log_ndtr((split - 0.5 - mean) / sd))
+    total = above + at_split * np.maximum(split - 1, 0.0)
     with np.errstate(divide="ignore"):
         return np.where(x >= split, log_pmf(x, mean, unit_var, min_sd) - np.log(total), np.log(at_split / total))
 
@@ -70,25 +74,18 @@ def flanking_log_pmf(x: np.ndarray, mean: np.ndarray, unit_var: np.ndarray, is_l
     return out.sum(1)
 
 
-def flanking_mean(x: np.ndarray, gamma: np.ndarray, is_left: np.ndarray) -> np.ndarray:
-    """Per unit the expected largest count, when row i belongs to the haplotype with probability gamma[i].
+def expected_largest(x: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Per unit the expected largest count, when row i belongs to the haplotype with probability share[i], each on its own.
 
-    Rows before the first one that isn't zero (left reads) or after the last (right reads) are taken as showing nothing; weights
-    are those of as many rows from the start.
+    The chance that the largest reaches a level is one less the chance that no row from that level on belongs.
     """
-    if not x.size:
-        return np.zeros(0)
-    out = np.zeros(x.shape[1])
-    is_left = np.asarray(is_left, bool)
-    for d in range(x.shape[1]):
-        c = x[:, d]
-        before = np.cumsum(c != 0) == 0
-        after = np.cumsum((c != 0)[::-1])[::-1] == 0
-        c = c[~np.where(is_left, before, after)]
-        order = np.argsort(c, kind="stable")
-        g = gamma[order]
-        larger = np.append(np.cumprod((1 - g)[::-1])[::-1][1:], 1.0)
-        out[d] = (c[order] * g * larger).sum()
+    out = np.zeros(x.shape[1] if x.ndim == 2 else 0)
+    for d in range(len(out)):
+        levels, at = np.unique(np.maximum(x[:, d], 0), return_inverse=True)
+        none = np.ones(len(levels))
+        np.multiply.at(none, at, 1 - np.asarray(share, float))
+        reached = 1 - np.cumprod(none[::-1])[::-1]
+        out[d] = (reached * np.diff(levels, prepend=0)).sum()
     return out
 
 
@@ -109,8 +106,7 @@ class Observations:
         self.spans = self.kind == 0
         self._full, self._cut = seen_units(self.counts, self.kind != 2) if len(self.counts) else (self.counts > 0, self.counts > 0)
         self._full[self.spans], self._cut[self.spans] = True, False
-        self._known: dict[tuple[int, float, float], np.ndarray] = {}
-
+        self._distinct = [np.unique(self.counts[:, d], return_inverse=True) for d in range(self.counts.shape[1])]
     def __len__(self) -> int:
         return int(self.weight.sum())
 
@@ -121,26 +117,19 @@ class Observations:
     def keep(self, mask: np.ndarray) -> Observations:
         return Observations(self.counts[mask], self.kind[mask], self.weight[mask], self.config)
 
-    def all_rows(self, mask: np.ndarray) -> np.ndarray:
-        return np.repeat(self.counts[mask], self.weight[mask], axis=0)
-
-    def _unit_mass(self, d: int, mean: float, unit_var: float) -> np.ndarray:
-        """Log mass of every observation's count of one unit; kept, as searches ask again for most units at each step."""
-        key = (d, float(mean), float(unit_var))
-        got = self._known.get(key)
-        if got is None:
-            s, full, cut = self.config.min_sd, self._full[:, d], self._cut[:, d]
-            x, at = np.unique(self.counts[:, d], return_inverse=True)
-            got = np.where(full, log_pmf(x, mean, unit_var, s)[at], 0.0)
-            if cut.any():
-                got[cut] = cut_log_pmf(x, mean, unit_var, s)[at][cut]
-            if len(self._known) > 4096:
-                self._known.clear()
-            self._known[key] = got
-        return got
+    def unit_mass(self, d: int, mean, unit_var) -> np.ndarray:
+        """Log mass of every observation's count of one unit: a row for each of the given means and variances."""
+        mean, unit_var = np.broadcast_arrays(np.atleast_1d(np.asarray(mean, float)), np.atleast_1d(np.asarray(unit_var, float)))
+        mean, unit_var = mean[:, None], unit_var[:, None]
+        s, full, cut = self.config.min_sd, self._full[:, d], self._cut[:, d]
+        x, at = self._distinct[d]
+        out = np.where(full, log_pmf(x, mean, unit_var, s)[:, at], 0.0)
+        if cut.any():
+            out[:, cut] = cut_log_pmf(x, mean, unit_var, s)[:, at[cut]]
+        return out
 
     def log_mass(self, mean: np.ndarray, unit_var: np.ndarray) -> np.ndarray:
-        return sum(self._unit_mass(d, mean[d], unit_var[d]) for d in range(self.units))
+        return sum(self.unit_mass(d, mean[d], unit_var[d])[0] for d in range(self.units))
 
     def hom_ll(self, mean: np.ndarray, unit_var: np.ndarray) -> float:
         return float(self.weight @ self.log_mass(mean, unit_var))
@@ -154,14 +143,21 @@ class Observations:
         total = np.logaddexp(a, b)
         return np.exp(a - total), np.exp(b - total)
 
-    def informative(self) -> np.ndarray:
-        """Spanning reads and flanking ones that show more of some unit than any spanning read."""
-        longest = self.counts[self.spans].max(0)
-        return self.spans | (self.counts > longest).any(1)
-
-    def longest_flank(self) -> np.ndarray:
-        rows = self.counts[~self.spans]
-        return rows[np.argmax(rows.sum(1))]
+    def places(self) -> np.ndarray:
+        """Count vectors at which a haplotype may sit: those of spanning reads, of flanking reads that show more of some unit than any
+        spanning read, and the largest that flanking reads are expected to show.  Units that a flanking read doesn't
+        reach are filled from the others."""
+        spanning = self.counts[self.spans]
+        flank, n = self.counts[~self.spans], self.weight[~self.spans]
+        if len(spanning):
+            usual = np.array([x[np.searchsorted(np.cumsum(w), w.sum() / 2)] for x, w in ((np.sort(c), self.weight[self.spans][np.argsort(c, kind="stable")]) for c in spanning.T)])
+            flank, n = flank[keep := (flank > spanning.max(0)).any(1)], n[keep]
+        else:
+            usual = np.maximum(flank.max(0), 1)
+        out = [spanning, np.where(flank > 0, flank, usual)]
+        if len(flank):
+            out.append(np.maximum(np.round(expected_largest(flank, 1 - 0.5**n)), 1)[None, :])
+        return np.unique(np.concatenate(out), axis=0)
 
 
 @dataclass
@@ -174,56 +170,71 @@ class Fit:
     log_lik: float
 
 
-def _robust(x: np.ndarray) -> np.ndarray:
-    return (x.mean(0) + np.median(x, axis=0)) / 2
-
-
-def het_start(o: Observations) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First guess of two means and the variance: sort by longest count, halve, and split again around robust means."""
-    if not o.spans.any():
-        far = np.maximum(o.longest_flank(), 1)
-        return far * 0.9, far * 1.1, np.full(o.units, 0.5)
-    rows = o.all_rows(o.informative())
-    rows = rows[np.argsort(rows.max(1), kind="stable")]
-    half = (len(rows) + 1) // 2
-    c1, c2 = _robust(rows[:half]), _robust(rows[-half:])
-    d1, d2 = np.linalg.norm(rows - c1, axis=1), np.linalg.norm(rows - c2, axis=1)
-    groups = rows[d1 <= d2], rows[d2 <= d1]
-    groups = tuple(g if len(g) else rows for g in groups)
-    m1, m2 = (_robust(g) for g in groups)
-    spread = [(np.sqrt(((g - m) ** 2).mean(0)) + np.median(np.abs(g - m), axis=0)) / 2 for g, m in zip(groups, (m1, m2), strict=True)]
-    v1, v2 = (s**2 / (m + 1e-5) for s, m in zip(spread, (m1, m2), strict=True))
-    var = np.maximum((v1 + v2 + np.minimum(v1, v2)) / 3, o.config.min_var)
-    m1, m2 = np.maximum(m1, 0.1), np.maximum(m2, 0.1)
-    near = np.abs(m1 - m2) < 1
-    # four steps in turn, each on what the last one left: equal means come apart too
-    for change, which, factor in ((m1, np.less_equal, 0.9), (m1, np.greater_equal, 1.1), (m2, np.greater_equal, 0.9), (m2, np.less_equal, 1.1)):
-        change[near & which(m1, m2)] *= factor
-    return m1, m2, var
-
-
-def refine(o: Observations, m1: np.ndarray, m2: np.ndarray, var: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One step of expectation and maximisation; means take the larger of what spanning and flanking reads say."""
-    shares = o.shares(m1, m2, var)
-    s, f = o.spans, ~o.spans
-    means = []
-    for g in shares:
-        parts = []
-        if s.any():
-            w = (g * o.weight)[s]
-            parts.append((w[:, None] * o.counts[s]).sum(0) / w.sum() if w.sum() > 0 else np.zeros(o.units))
-        if f.any():
-            n = o.weight[f]
-            parts.append(flanking_mean(np.repeat(o.counts[f], n, axis=0), np.repeat(g[f], n), np.repeat(o.kind[f] == 1, n)))
-        means.append(np.max(parts, axis=0))
-    if s.any():
-        each = []
-        for g, m in zip(shares, means, strict=True):
-            w = (g * o.weight)[s]
-            each.append((w[:, None] * (o.counts[s] - m) ** 2).sum(0) / w.sum() / (m + 1e-5) if w.sum() > 0 else np.zeros(o.units))
-        first = float((shares[0] * o.weight)[s].sum() / o.weight[s].sum())
-        var = first * each[0] + (1 - first) * each[1]
-    return means[0], means[1], var
+#: Values of the variance that a search looks at first, then around the best, and how often; places that pairs are made of, pairs
+#: that are followed up.
+GRID, FINER, TURNS, PLACES, STARTS = 20, 7, 4, 24, 3
+
+
+class Search:
+    """Log masses of a locus's observations at a fixed grid of variances, kept by unit and whole mean."""
+
+    def __init__(self, o: Observations):
+        self.o = o
+        span = np.ptp(o.counts, axis=0).max() + 1.0
+        self.floor = o.config.min_var
+        self.grid = np.geomspace(self.floor, max(span * span, 2 * self.floor), GRID)
+        self._known: dict[tuple[int, float], np.ndarray] = {}
+
+    def mass(self, d: int, mean: float) -> np.ndarray:
+        key = (d, float(mean))
+        if key not in self._known:
+            self._known[key] = self.o.unit_mass(d, mean, self.grid)
+        return self._known[key]
+
+    def var(self, d: int, means: list[float], combine) -> tuple[float, float]:
+        """The variance of unit ``d`` of the largest log-likelihood, and that; ``combine`` makes log-likelihoods of the masses at each of
+        the means, a row a variance."""
+        grid = self.grid
+        y = combine(*[self.mass(d, m) for m in means])
+        i = int(np.argmax(y))
+        found = float(y[i]), float(grid[i])
+        if i == 0 and combine(*[self.o.unit_mass(d, m, self.floor * 1.001) for m in means])[0] <= y[0]:
+            return found[1], found[0]
+        low, high = np.log(grid[max(i - 1, 0)]), np.log(grid[min(i + 1, len(grid) - 1)])
+        for _ in range(TURNS):
+            x = np.linspace(low, high, FINER)
+            y = combine(*[self.o.unit_mass(d, m, np.exp(x)) for m in means])
+            i = int(np.argmax(y))
+            found = max(found, (float(y[i]), float(np.exp(x[i]))))
+            low, high = x[max(i - 1, 0)], x[min(i + 1, FINER - 1)]
+        return max(found[1], self.floor), found[0]
+
+
+def _climb(start: np.ndarray, full, rough) -> tuple[np.ndarray, float, np.ndarray]:
+    """From whole numbers to a peak: steps of one in one coordinate, first with the variances held (``rough``), then with those fitted
+    (``full``), until no neighbour is better."""
+    at = np.asarray(start, float)
+    ll, var = full(at)
+    known = {tuple(at.tolist()): (ll, var)}
+    steps = [s for i in range(len(at)) for s in (np.eye(len(at))[i], -np.eye(len(at))[i])]
+    while True:
+        held, best = rough(at, var), at
+        while True:
+            near = [(rough(best + s, var), i) for i, s in enumerate(steps) if (best + s).min() >= 0]
+            top, i = max(near, key=lambda x: (x[0], -x[1]))
+            if top <= held + 1e-9:
+                break
+            held, best, leap = top, best + steps[i], 1
+            while (best + leap * steps[i]).min() >= 0 and (top := rough(best + leap * steps[i], var)) > held + 1e-9:  # on, ever faster
+                held, best, leap = top, best + leap * steps[i], 2 * leap
+        candidates = [best] if tuple(best.tolist()) != tuple(at.tolist()) else [at + s for s in steps if (at + s).min() >= 0]
+        for m in candidates:
+            if tuple(m.tolist()) not in known:
+                known[tuple(m.tolist())] = full(m)
+        m = max(candidates, key=lambda m: known[tuple(m.tolist())][0])
+        if known[tuple(m.tolist())][0] <= ll + 1e-9:
+            return at, ll, var
+        at, (ll, var) = m, known[tuple(m.tolist())]
 
 
 def _interval(o: Observations, ll, mean: np.ndarray, best: float) -> tuple[np.ndarray, np.ndarray]:
@@ -250,46 +261,68 @@ def _interval(o: Observations, ll, mean: np.ndarray, best: float) -> tuple[np.nd
     return low, high
 
 
-def _whole(mean: np.ndarray, below: int) -> list[list[float]]:
-    return [np.arange(max(math.floor(m) - below, 0), math.ceil(m) + 1).tolist() for m in mean]
-
-
 def fit_hom(o: Observations) -> Fit:
-    """One haplotype: units are independent, so each has its own small problem."""
-    d, floor = o.units, o.config.min_var
-    if o.spans.any():
-        rows = o.all_rows(o.informative())
-        mean = rows.mean(0)
-        var = ((rows - mean) ** 2).mean(0) / (mean + 1e-5)
-    else:
-        mean, var = np.maximum(o.longest_flank(), 1), np.zeros(d)  # the start is raised to the floor
-    lower = np.concatenate([np.zeros(d), np.full(d, floor)])
-    x, _ = minimise(lambda p: -o.hom_ll(p[:d], p[d:]), np.concatenate([mean, var]), lower)
-    best = (-np.inf, None, None)
-    for at in itertools.product(*_whole(x[:d], 1)):
-        m = np.array(at)
-        v, f = minimise(lambda p, m=m: -o.hom_ll(m, p), x[d:], np.full(d, floor))
-        if -f > best[0]:
-            best = (-f, m, v)
-    ll, m, v = best
-    return Fit([m], v, [_interval(o, lambda y: o.hom_ll(y, v), m, ll)], ll)
+    """One haplotype: units are independent, so each has its own search over whole means, the variance fitted to each."""
+    search, places = Search(o), o.places()
+    mean, var = np.zeros(o.units), np.zeros(o.units)
+    for d in range(o.units):
+
+        def full(m, d=d):
+            v, ll = search.var(d, [m[0]], lambda mass: mass @ o.weight)
+            return ll, v
+
+        def rough(m, v, d=d):
+            return float((o.unit_mass(d, m[0], v) @ o.weight)[0])
+
+        seen = np.unique(places[:, d])
+        level = np.array([(search.mass(d, m) @ o.weight).max() for m in seen])
+        ends = [_climb(np.array([seen[i]]), full, rough) for i in np.argsort(-level, kind="stable")[:2]]
+        at, _, var[d] = max(ends, key=lambda e: (e[1], -e[0][0]))
+        mean[d] = at[0]
+    ll = o.hom_ll(mean, var)
+    return Fit([mean], var, [_interval(o, lambda y: o.hom_ll(y, var), mean, ll)], ll)
+
+
+def _fit_vars(o: Observations, search: Search, m1: np.ndarray, m2: np.ndarray, start: np.ndarray) -> tuple[float, np.ndarray]:
+    """The largest log-likelihood at two means and its variances, unit by unit until little is gained."""
+    var = start.copy()
+    a = [o.unit_mass(d, m1[d], var[d])[0] for d in range(o.units)]
+    b = [o.unit_mass(d, m2[d], var[d])[0] for d in range(o.units)]
+    best = -np.inf
+    for _ in range(8):
+        before = best
+        for d in range(o.units):
+            p, q = sum(a) - a[d] + HALF, sum(b) - b[d] + HALF
+            var[d], best = search.var(d, [m1[d], m2[d]], lambda x, y, p=p, q=q: np.logaddexp(p + x, q + y) @ o.weight)
+            a[d], b[d] = o.unit_mass(d, m1[d], var[d])[0], o.unit_mass(d, m2[d], var[d])[0]
+        if o.units == 1 or best - before < 1e-6:
+            break
+    return best, var
 
 
 def fit_het(o: Observations) -> Fit:
-    d, floor = o.units, o.config.min_var
-    m1, m2, var = het_start(o)
-    for _ in range(2):
-        m1, m2, var = refine(o, m1, m2, var)
-    lower = np.concatenate([np.zeros(2 * d), np.full(d, floor)])
-    x, _ = minimise(lambda p: -o.het_ll(p[:d], p[d : 2 * d], p[2 * d :]), np.concatenate([m1, m2, var]), lower)
-    best = (-np.inf, None, None, None)
-    for a in itertools.product(*_whole(x[:d], 0)):
-        for b in itertools.product(*_whole(x[d : 2 * d], 0)):
-            p, q = np.array(a), np.array(b)
-            v, f = minimise(lambda y, p=p, q=q: -o.het_ll(p, q, y), x[2 * d :], np.full(d, floor))
-            if -f > best[0]:
-                best = (-f, p, q, v)
-    ll, p, q, v = best
+    """Two haplotypes: all pairs of places are tried at a few variances, and the best are followed to the nearest peak of the
+    log-likelihood over whole means, the variance fitted to each."""
+    d, search, places = o.units, Search(o), o.places()
+    if len(places) > PLACES:  # evenly by rank, least and largest among them
+        places = places[np.unique(np.linspace(0, len(places) - 1, PLACES).round().astype(int))]
+    mass = np.array([sum(search.mass(j, p[j]) for j in range(d)) for p in places]) + HALF
+    level = []
+    for i in range(len(places)):
+        ll = np.logaddexp(mass[i][None], mass[i:]) @ o.weight
+        at = ll.argmax(1)
+        level += [(-float(ll[j, at[j]]), i, i + j, int(at[j])) for j in range(len(ll))]
+    best = None
+    for _, i, j, v in sorted(level)[:STARTS]:
+        m, ll, var = _climb(
+            np.concatenate([places[i], places[j]]),
+            lambda m, v=v: _fit_vars(o, search, m[:d], m[d:], np.full(d, search.grid[v])), lambda m, var: o.het_ll(m[:d], m[d:], var),
+        )
+        pair = sorted((m[:d], m[d:]), key=lambda x: (x.max(), x.tolist()))
+        found = (round(-ll, 7), [x.tolist() for x in pair], ll, pair, var)
+        if best is None or found[:2] < best[:2]:
+            best = found
+    _, _, ll, (p, q), v = best
     return Fit([p, q], v, [_interval(o, lambda y: o.het_ll(y, q, v), p, ll), _interval(o, lambda y: o.het_ll(p, y, v), q, ll)], ll)
 
 

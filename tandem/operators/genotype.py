@@ -61,7 +61,9 @@ def genotype_loci(calls: DataFrame, ploidy: DataFrame | None = None, config: Con
         seen = seen.withColumn("ploidy", F.lit(2))
     else:
         seen = seen.join(ploidy.select(F.col("locus_id").cast("string").alias("locus_id"), "ploidy"), "locus_id").where("ploidy > 0")
-    return seen.groupBy("locus_id").applyInPandas(_locus(config), SCHEMA)
+    # the rows are few and each is much work: an explicit number of partitions isn't merged by their bytes
+    dealt = seen.repartition(int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions")), "locus_id")
+    return dealt.groupBy("locus_id").applyInPandas(_locus(config), SCHEMA)
 
 
 def label_reads(calls: DataFrame, loci: DataFrame) -> DataFrame:

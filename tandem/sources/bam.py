@@ -34,6 +34,7 @@ def methylation(sequence: str, reverse: bool, mm: str | None, ml: list[int] | No
     as_read = [_PAIR.get(c, "N") for c in reversed(sequence)] if reverse else list(sequence)
     for part in filter(None, mm.split(";")):
         head, *skips = part.split(",")
+        skips = [x for x in skips if x.strip()]  # a list without calls may still have its comma
         codes = head[2:].rstrip(".?")
         n = len(skips)
         names = [codes] if codes.isdigit() else list(codes)

@@ -396,7 +396,7 @@ def ref_divergence(spark, sf_dir):
     return V.table(spark, sf_dir, "part").select("p_partkey", ops.alias("ops")).select("p_partkey", r6(C.ref_divergence(F.col("ops"), F.lit(3))).alias("divergence"))
 
 
-_PAIRS = f"""{V.V_SEQUENCES}, p as (select a.query_name as a, b.query_name as b, a.sequence[1:200] as sa, b.sequence[1:150] as sb,
+_PAIRS = f"""{V.V_SEQUENCES}, p as (select a.query_name as a, b.query_name as b, a.sequence as sa, b.sequence as sb,
     ['left_flanking', 'spanning', 'right_flanking'][a.query_name % 3 + 1] as ka, ['left_flanking', 'spanning', 'right_flanking'][a.query_name // 3 % 3 + 1] as kb
     from v_sequences a join v_sequences b on b.query_name = a.query_name + 1),
     n as (select *, least(len(sa), len(sb)) as n, case when ka <> 'spanning' then ka[1:1] when kb <> 'spanning' then kb[1:1] else '-' end as da,
@@ -406,12 +406,6 @@ _PAIRS = f"""{V.V_SEQUENCES}, p as (select a.query_name as a, b.query_name as b,
 
 @query(f"with {_PAIRS} select a, b, len(ta)::int as len_a, len(tb)::int as len_b, levenshtein(ta, tb)::int as distance from t")
 def flank_trim_distance(spark, sf_dir):
-    return _flank_trim(V.sequences(spark, sf_dir), F.substring("sequence", 1, 200), F.substring("sequence", 1, 150))
-
-
-@query()
-def flank_trim_distance_whole(spark, sf_dir):
-    """As flank_trim_distance, whole sequences; its SQL holds beginnings only."""
     return _flank_trim(V.sequences(spark, sf_dir), F.col("sequence"), F.col("sequence"))
 
 
@@ -424,19 +418,11 @@ def _flank_trim(s, first, second):
     return p.select("a", "b", ta.alias("ta"), tb.alias("tb")).select("a", "b", F.length("ta").alias("len_a"), F.length("tb").alias("len_b"), F.levenshtein("ta", "tb").alias("distance"))
 
 
-@query(f"""with {V.V_SEQUENCES}, c as (select locus_id, 'h' || row_number() over (partition by locus_id order by query_name) as haplotype, sequence[1:120] as consensus, 'spanning' as kind
+@query(f"""with {V.V_SEQUENCES}, c as (select locus_id, 'h' || row_number() over (partition by locus_id order by query_name) as haplotype, sequence as consensus, 'spanning' as kind
         from v_sequences qualify row_number() over (partition by locus_id order by query_name) <= 2),
-    r as (select locus_id, query_name, sequence[1:100] as s from v_sequences where query_name % 2 = 1),
-    d as (select r.locus_id, query_name, haplotype, levenshtein(left(s, least(len(s), len(consensus))), left(consensus, least(len(s), len(consensus)))) as distance from r join c using (locus_id))
+    d as (select r.locus_id, query_name, haplotype, levenshtein(left(sequence, least(len(sequence), len(consensus))), left(consensus, least(len(sequence), len(consensus)))) as distance from v_sequences r join c using (locus_id))
     select locus_id, query_name, haplotype, distance::int as distance from (select *, row_number() over (partition by locus_id, query_name order by distance, haplotype) as rn from d) where rn = 1""")
 def nearest_consensus(spark, sf_dir):
-    s = V.sequences(spark, sf_dir)
-    return _nearest_of_two(s, s.where(F.col("query_name") % 2 == 1), F.substring("sequence", 1, 100), F.substring("sequence", 1, 120))
-
-
-@query()
-def nearest_consensus_whole(spark, sf_dir):
-    """As nearest_consensus, all reads and whole sequences; its SQL holds every second read and beginnings only."""
     s = V.sequences(spark, sf_dir)
     return _nearest_of_two(s, s, F.col("sequence"), F.col("sequence"))
 

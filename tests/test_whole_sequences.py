@@ -1,4 +1,4 @@
-"""Queries over whole sequences against brute force; SQL is too slow for them."""
+"""Queries over whole sequences against brute force."""
 
 import random
 
@@ -36,7 +36,7 @@ def test_nearest_consensus(spark, tables):
         two = sorted(j for j in s if s[j][0] == locus)[:2]
         d, h = min((distance(x[: len(s[j][1])], s[j][1][: len(x)]), f"h{k}") for k, j in enumerate(two, 1))
         want.add((locus, i, h, d))
-    assert {tuple(r) for r in QUERIES["nearest_consensus_whole"](spark, path).select("locus_id", "query_name", "haplotype", "distance").collect()} == want
+    assert {tuple(r) for r in QUERIES["nearest_consensus"](spark, path).select("locus_id", "query_name", "haplotype", "distance").collect()} == want
 
 
 def test_flank_trim_distance(spark, tables):
@@ -48,4 +48,4 @@ def test_flank_trim_distance(spark, tables):
         cut = lambda z, own, other: {"l": z[:n], "r": z[-n:], "s": z}[own if own != "s" else other]  # noqa: B023, E731
         x, y = cut(x, ka, kb), cut(y, kb, ka)
         want.add((a, a + 1, len(x), len(y), distance(x, y)))
-    assert {tuple(r) for r in QUERIES["flank_trim_distance_whole"](spark, path).select("a", "b", "len_a", "len_b", "distance").collect()} == want
+    assert {tuple(r) for r in QUERIES["flank_trim_distance"](spark, path).select("a", "b", "len_a", "len_b", "distance").collect()} == want

@@ -41,6 +41,10 @@ def alleles(loci: DataFrame, calls: DataFrame) -> DataFrame:
     a = a.select("locus_id", "allele", "haplotype", fit.alias("f"))
     a = a.select("locus_id", "allele", "haplotype", F.posexplode(F.arrays_zip("f.mean", "f.mean_lower", "f.mean_upper")).alias("idx", "x"))
     d = calls.groupBy(F.col("locus_id").cast("string").alias("locus_id"), "haplotype").agg(F.count_if(F.col("alignment_type") == "spanning").alias("spanning"), F.count_if(F.col("alignment_type") != "spanning").alias("flanking"))
+    # a locus whose reads have haplotypes but that has no parameters is an error, not a gap
+    lost = d.where(F.col("haplotype").isin("h1", "h2", "hom")).select("locus_id").distinct().join(loci.select("locus_id"), "locus_id", "left_anti")
+    failed = lost.select(F.raise_error(F.concat(F.lit("missing parameters for locus "), "locus_id")).cast("string").alias("locus_id"))
+    a = a.unionByName(failed, allowMissingColumns=True)
     out = a.join(d, ["locus_id", "haplotype"], "left")
     return out.select("locus_id", "idx", "allele", "haplotype", F.col("x.mean").alias("mean"), F.col("x.mean_lower").alias("low"), F.col("x.mean_upper").alias("high"), F.coalesce("spanning", F.lit(0)).alias("spanning"), F.coalesce("flanking", F.lit(0)).alias("flanking"))
 

@@ -55,14 +55,19 @@ def genotype_loci(calls: DataFrame, ploidy: DataFrame | None = None, config: Con
     Equal reads of a locus are counted first, with partial sums before the shuffle, so a task holds a locus's distinct
     (type, counts), not its reads.  ``ploidy`` has (locus_id, ploidy); loci that it gives 0 copies have no result.
     """
-    ship(calls.sparkSession)
     seen = calls.groupBy(F.col("locus_id").cast("string").alias("locus_id"), "alignment_type", F.col("kmer_count").cast("array<int>").alias("kmer_count")).agg(F.count(F.lit(1)).alias("n"))
+    return genotype_counts(seen, ploidy, config)
+
+
+def genotype_counts(seen: DataFrame, ploidy: DataFrame | None = None, config: Config = Config()) -> DataFrame:
+    """:func:`genotype_loci` of reads that are counted already: (locus_id, alignment_type, kmer_count, n), a row each distinct one."""
+    ship(seen.sparkSession)
     if ploidy is None:
         seen = seen.withColumn("ploidy", F.lit(2))
     else:
         seen = seen.join(ploidy.select(F.col("locus_id").cast("string").alias("locus_id"), "ploidy"), "locus_id").where("ploidy > 0")
     # the rows are few and each is much work: an explicit number of partitions isn't merged by their bytes
-    dealt = seen.repartition(int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions")), "locus_id")
+    dealt = seen.repartition(int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions")), "locus_id")
     return dealt.groupBy("locus_id").applyInPandas(_locus(config), SCHEMA)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tandem.operators.genotype import genotype_loci
+from tandem.operators.genotype import genotype_counts
 
 CALLS = "locus_id string, query_name string, alignment_type string, kmer_count array<int>"
 
@@ -30,14 +30,18 @@ def windowed_depth(calls: DataFrame, time: str, window: str = "5 minutes", late:
 
 
 def genotypes_on_arrival(calls: DataFrame, give: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """After each batch gives the genotypes of the loci that changed.
+    """After each batch gives the genotypes of the loci whose counts it touched, fitted to all their counts so far.
 
-    A changed locus comes with all its counts so far, since complete mode hands out the whole state; only loci whose counts the
-    batch touched should be fitted where there are very many: filter in ``give``.
+    The counts that a batch changed are kept beside the checkpoint, a folder a batch, so a batch that is run again writes the same
+    folder.  Counts only grow: the largest of a kind is the present one.
     """
+    totals = f"{checkpoint.rstrip('/')}-totals"
 
     def batch(counts: DataFrame, number: int) -> None:
-        rows = counts.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("i", "n")
-        give(genotype_loci(rows), number)
+        counts.write.mode("overwrite").parquet(f"{totals}/batch={number}")
+        kept = counts.sparkSession.read.option("basePath", totals).parquet(totals).where(F.col("batch") <= number)
+        touched = kept.where(F.col("batch") == number).select("locus_id").distinct()
+        seen = kept.join(touched, "locus_id", "left_semi").groupBy("locus_id", "alignment_type", "kmer_count").agg(F.max("n").alias("n"))
+        give(genotype_counts(seen), number)
 
-    return running_counts(calls).writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+    return running_counts(calls).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).start()

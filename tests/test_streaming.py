@@ -13,13 +13,15 @@ def test_counts_and_genotypes(spark, tmp_path):
     q = genotypes_on_arrival(arriving(spark, path), lambda df, i: got.append(df.select("locus_id", "n_reads", "is_significant").collect()), str(tmp_path / "cp"))
     try:
         q.processAllAvailable()
-        calls(spark, 6, 17).write.mode("append").parquet(path)
+        calls(spark, 6, 17).unionByName(spark.createDataFrame([("M", "m", "spanning", [3])], CALLS)).write.mode("append").parquet(path)
+        q.processAllAvailable()
+        spark.createDataFrame([("M", "n", "spanning", [3])], CALLS).write.mode("append").parquet(path)
         q.processAllAvailable()
     finally:
         q.stop()
-    assert [(r.n_reads, r.is_significant) for batch in got for r in batch] == [(6, False), (12, True)]
+    assert [sorted((r.locus_id, r.n_reads, r.is_significant) for r in batch) for batch in got] == [[("L", 6, False)], [("L", 12, True), ("M", 1, False)], [("M", 2, False)]]
     counts = running_counts(spark.read.schema(CALLS).parquet(path))
-    assert sorted((r.kmer_count[0], r.n) for r in counts.collect()) == [(10, 6), (17, 6)]
+    assert sorted((r.kmer_count[0], r.n) for r in counts.collect()) == [(3, 2), (10, 6), (17, 6)]
 
 
 def test_windows(spark, tmp_path):

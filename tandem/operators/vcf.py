@@ -58,10 +58,10 @@ def unit_consensus(found: DataFrame) -> DataFrame:
     return each.withColumn("own", own).select("locus_id", "haplotype", "idx", F.array_join("own", "").alias("cons"), C.contract_runs(F.col("own")).alias("contracted"))
 
 
-def records(alleles: DataFrame, units: DataFrame, reference: DataFrame, order: DataFrame, consensus: DataFrame | None = None, contracted: bool = False, source: str = "Tandem") -> DataFrame:
+def records(alleles: DataFrame, units: DataFrame, reference: DataFrame | None, order: DataFrame, consensus: DataFrame | None = None, contracted: bool = False, source: str = "Tandem") -> DataFrame:
     """(chrom, ord, pos, end, value): a line a unit of each locus, in the order of the index, unknown contigs last.
 
-    The position is the region's start as it stands in the catalogue.  An empty region shows the base at its start.
+    ``reference`` has whole contigs; without it ``units`` has the bases of each region as ``ref``.  The position is the region's start as it stands in the catalogue.  An empty region shows the base at its start.
     """
     if consensus is not None:
         alleles = alleles.join(consensus, ["locus_id", "haplotype", "idx"], "left")
@@ -69,10 +69,11 @@ def records(alleles: DataFrame, units: DataFrame, reference: DataFrame, order: D
         alleles = alleles.withColumn("cons", F.lit("")).withColumn("contracted", F.lit(""))
     row = F.struct("allele", "mean", "low", "high", "spanning", "flanking", F.coalesce("cons", F.lit("")).alias("cons"), F.coalesce("contracted", F.lit("")).alias("contracted"))
     g = alleles.groupBy("locus_id", "idx").agg(F.array_sort(F.collect_list(row)).alias("a"))  # one or two alleles
-    g = g.join(units, ["locus_id", "idx"]).join(reference, "chrom").join(order, "chrom", "left")
+    g = g.join(units, ["locus_id", "idx"]).join(order, "chrom", "left")
+    g = g if reference is None else g.join(reference, "chrom")
     each = lambda f: F.array_join(F.transform("a", lambda x: f(x).cast("string")), ",")
     depth = lambda x: x["spanning"] + x["flanking"]
-    ref = F.substring(F.col("sequence"), (F.col("start") + 1).cast("int"), F.greatest(F.col("end") - F.col("start"), F.lit(1)).cast("int"))
+    ref = F.col("ref") if reference is None else F.substring(F.col("sequence"), (F.col("start") + 1).cast("int"), F.greatest(F.col("end") - F.col("start"), F.lit(1)).cast("int"))
     values = [
         ("GT", F.array_join(F.transform("a", lambda x: (x["allele"] + 1).cast("string")), "/")), ("LC", F.aggregate("a", F.lit(0).cast("long"), lambda s, x: s + depth(x)).cast("string")),
         ("AD", each(depth)), ("ADSP", each(lambda x: x["spanning"])), ("ADFL", each(lambda x: x["flanking"])), ("REPCN", each(lambda x: _number(x["mean"]))),

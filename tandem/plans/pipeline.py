@@ -27,15 +27,39 @@ def load_loci(spark: SparkSession, catalogue: str, fasta: str, subset: Iterable[
         loci = loci.where(F.col("locus_id").isin(list(subset)))
         if loci.limit(1).count() == 0:
             raise ValueError("none of the loci is in the catalogue")
+    if files.has(fasta + ".fai"):
+        return files.anchors_by_index(loci, fasta, c)
     return files.with_anchors(loci, files.read_fasta(spark, fasta), c)
 
 
-def reads_at(alignments: DataFrame, loci: DataFrame, c: Config = Config()) -> DataFrame:
-    """Primary alignments that overlap each locus, trimmed, with unique names."""
+def region_text(rows: Iterable) -> str:
+    """Regions (chrom, start, end) as the source of alignments takes them."""
+    return ",".join(f"{chrom}:{max(start, 0)}-{max(end, start + 1)}" for chrom, start, end in rows)
+
+
+def alignments_at(spark: SparkSession, path: str, loci: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Alignments that overlap the loci, and those at the places that the tags of supplementary ones among them name.
+
+    The catalogue's regions and those places go to the source, which reads only there; both lists are as long as the catalogue and
+    the supplementary alignments at its loci.
+    """
+    read = lambda rows: spark.read.format("bam").option("regions", region_text(rows)).load(path)
+    near = written(read(loci.select("chrom", "start", "end").collect()))
+    tag = F.split("sa", ",")
+    other = near.where(F.col("flag").bitwiseAND(reads_.SUPPLEMENTARY) != 0).where("sa is not null").select(tag[0].alias("chrom"), (tag[1].cast("long") - 1).alias("pos")).distinct()
+    places = [(r.chrom, r.pos, r.pos + 1) for r in other.collect()]
+    return near, read(places) if places else near.limit(0)
+
+
+def reads_at(alignments: DataFrame, loci: DataFrame, c: Config = Config(), others: DataFrame | None = None) -> DataFrame:
+    """Primary alignments that overlap each locus, trimmed, with unique names.
+
+    ``others`` has the primary alignments that lie elsewhere; all alignments, if they are read whole.
+    """
     region = loci.select("locus_id", "chrom", "start", "end")
     near = reads_.overlaps(alignments.withColumn("start", F.col("pos")), region.withColumn("end", F.greatest("end", F.col("start") + 1)), on=("chrom",))
     near = near.withColumn("end", F.col("read_end")).select("locus_id", *alignments.columns)
-    primary = reads_.primary_alignments(near, alignments)
+    primary = reads_.primary_alignments(near, alignments if others is None else others)
     trimmed = reads_.trim_reads(primary, c)
     named = reads_.unique_names(trimmed, "chrom", "pos", "cigar", "sequence")
     return named.select("locus_id", "query_name", "strand", "sequence", "qualities", "mod_5mc_probs")
@@ -90,15 +114,17 @@ def run(spark: SparkSession, bam_path: str, fasta: str, catalogue: str, out: str
     bam.register(spark)
     loci = written(load_loci(spark, catalogue, fasta, subset, c))
     log.debug("%d loci", loci.count())
-    alignments = spark.read.format("bam").load(bam_path)
-    result = genotype_reads(reads_at(alignments, loci, c), loci, sex, c)
+    near, others = alignments_at(spark, bam_path, loci)
+    result = genotype_reads(reads_at(near, loci, c, others), loci, sex, c)
     for name in ("reads", "filtered_reads", "consensus", "haplotypes", "summary", "par_summary"):
         files.write_table(result[name], f"{out}/{name}.csv")
     if vcf_path:
         order = files.read_fai(spark, fasta + ".fai")
         alleles = vcf.alleles(result["loci"], result["reads"])
         cons = vcf.unit_consensus(unit_places(result["consensus"], loci)) if with_consensus or with_contracted else None
-        lines = vcf.records(alleles, files.units_of(loci), files.read_fasta(spark, fasta), order, cons, with_contracted)
+        units = files.units_of(loci)
+        shown = files.fetch(units.withColumn("end", F.greatest("end", F.col("start") + 1)), fasta, "ref").select("locus_id", "idx", "ref")
+        lines = vcf.records(alleles, units.join(shown, ["locus_id", "idx"]), None, order, cons, with_contracted)
         vcf.write(lines, alleles, order, vcf_path, sample, fasta)
     os.makedirs(out, exist_ok=True)
     log.debug("tables and variants are written")

@@ -3,6 +3,9 @@
 BAM is a series of BGZF blocks, gzip members of at most 64 KB each.  With an index beside it (``.bai``) a file is read in a
 partition for each reference that has alignments, and a filter on ``chrom`` skips the others' bytes; without an index, and for
 unplaced reads, a file is one partition.  Start and end of the filter on ``pos`` narrow the range by the index's windows of 16 kb.
+
+The option ``regions`` (chrom:start-end, counted from 0 and half open, separated by commas) reads what overlaps them, each alignment
+once: with an index only from the windows of the regions on, some regions a partition.
 """
 
 from __future__ import annotations
@@ -169,8 +172,27 @@ def index(raw: bytes) -> list[tuple[int, int, list[int]] | None]:
 
 
 class Part(InputPartition):
-    def __init__(self, path: str, start: int | None, stop: int | None, chrom: str | None):
-        self.path, self.start, self.stop, self.chrom = path, start, stop, chrom
+    """A stretch of a file, or ``regions`` (offset, low, high, where an alignment must start not to have been in the region before)."""
+
+    def __init__(self, path: str, start: int | None, stop: int | None, chrom: str | None, regions: list[tuple[int, int, int, int]] | None = None):
+        self.path, self.start, self.stop, self.chrom, self.regions = path, start, stop, chrom, regions
+
+
+#: Regions nearer than this are read as one; regions a partition.
+JOIN, REGIONS = 4 * WINDOW, 32
+
+
+def merged(text: str) -> dict[str, list[tuple[int, int]]]:
+    """The regions of each chromosome, ascending, near ones as one."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    cut = [x.rpartition(":") for x in text.split(",") if x]
+    for chrom, low, high in sorted((c, *map(int, r.split("-"))) for c, _, r in cut):
+        own = out.setdefault(chrom, [])
+        if own and low <= own[-1][1] + JOIN:
+            own[-1] = (own[-1][0], max(own[-1][1], high))
+        else:
+            own.append((low, high))
+    return out
 
 
 def _files(path: str) -> list[str]:
@@ -192,8 +214,9 @@ def _open(path: str):
 
 
 class BamReader(DataSourceReader):
-    def __init__(self, path: str):
+    def __init__(self, path: str, regions: str | None = None):
         self.path = path
+        self.regions = merged(regions) if regions is not None else None
         self.chrom: str | None = None
         self.low, self.high = 0, 1 << 62
 
@@ -223,17 +246,37 @@ class BamReader(DataSourceReader):
                 if entry is None or self.chrom not in (None, name):
                     continue
                 low, high, windows = entry
+                if self.regions is not None:
+                    own, before = [], 0
+                    for a, b in self.regions.get(name, []):
+                        if a // WINDOW < len(windows):  # nothing stands beyond the last window
+                            own.append((max(low, windows[a // WINDOW]), a, b, before))
+                        before = b
+                    out += [Part(path, None, None, name, own[i : i + REGIONS]) for i in range(0, len(own), REGIONS)]
+                    continue
                 w = min(self.low // WINDOW, len(windows) - 1) if windows else 0
                 out.append(Part(path, max(low, windows[w]) if windows else low, high, name))
-            if self.chrom is None and self.low <= 0 and entries:
+            if self.regions is None and self.chrom is None and self.low <= 0 and entries:
                 ends = [e[1] for e in entries if e]
                 out.append(Part(path, max(ends, default=None), None, ""))  # unplaced reads stand last
-        return out
+        return out or [Part(self.path, None, None, "", [])]
 
     def read(self, part: Part) -> Iterator[tuple]:
+        if part.regions == []:  # nothing to read
+            return
         with _open(part.path) as f:
             blocks = Blocks(f)
             names = [n for n, _ in header(blocks)]
+            if part.regions is not None:
+                for at, low, high, before in part.regions:
+                    blocks = Blocks(f, at)
+                    while len(size := blocks.read(4)) == 4:
+                        row = record(blocks.read(struct.unpack("<i", size)[0]), names)
+                        if row[2] != part.chrom or row[3] >= high:
+                            break
+                        if row[4] > low and row[3] >= before:
+                            yield row
+                return
             if part.start is not None:
                 blocks = Blocks(f, part.start)
             while part.stop is None or blocks.tell() < part.stop:
@@ -243,6 +286,8 @@ class BamReader(DataSourceReader):
                 row = record(blocks.read(struct.unpack("<i", size)[0]), names)
                 if part.chrom and row[2] == part.chrom and row[3] >= self.high:
                     return  # sorted by place
+                if self.regions is not None and not any(row[3] < b and row[4] > a for a, b in self.regions.get(row[2], [])):
+                    continue
                 if part.chrom is None or (row[2] or "") == part.chrom:
                     yield row
 
@@ -256,7 +301,7 @@ class BamSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> BamReader:
-        return BamReader(self.options["path"])
+        return BamReader(self.options["path"], self.options.get("regions"))
 
 
 def register(spark) -> None:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tandem.config import Config
 from tandem.functions import columns as C
+from tandem.shipping import ship
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -19,9 +23,60 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fai(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, length, ord) of a FASTA index; ``ord`` is the contig's place in the file, an index is one small file."""
-    rows = spark.read.schema("chrom string, length long, offset long, bases int, width int").option("sep", "\t").csv(path)
     place = F.row_number().over(Window.orderBy("offset")) - 1
-    return rows.select("chrom", "length", place.alias("ord"))
+    return _index(spark, path).select("chrom", "length", place.alias("ord"))
+
+
+def _index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("chrom string, length long, offset long, bases int, width int").option("sep", "\t").csv(path)
+
+
+def has(path: str) -> bool:
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return system.get_file_info(name).type == fs.FileType.File
+
+
+def fetch(regions: DataFrame, fasta: str, into: str = "sequence") -> DataFrame:
+    """``regions`` (chrom, start, end, ...) with the reference between start and end, read by the index beside the FASTA file.
+
+    A task seeks to each of its regions and reads just its lines; what lies outside a contig is cut off.  Regions of contigs that the
+    index doesn't have are left out, as in a join with the contigs.
+    """
+    ship(regions.sparkSession)
+    placed = regions.join(_index(regions.sparkSession, fasta + ".fai").withColumnsRenamed({"length": "__length", "offset": "__offset", "bases": "__bases", "width": "__width"}), "chrom")
+    names = regions.columns
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, name = fs.FileSystem.from_uri(fasta) if "://" in fasta else (fs.LocalFileSystem(), fasta)
+        with system.open_input_file(name) as f:
+            for batch in batches:
+                found = []
+                for start, end, length, offset, bases, width in zip(batch["start"], batch["end"], batch["__length"], batch["__offset"], batch["__bases"], batch["__width"], strict=True):
+                    a, b = max(int(start), 0), min(int(end), int(length))
+                    if a >= b:
+                        found.append("")
+                        continue
+                    first, last = (int(offset + x // bases * width + x % bases) for x in (a, b - 1))
+                    f.seek(first)
+                    found.append(f.read(last + 1 - first).translate(None, b"\r\n").decode())
+                yield batch[names].assign(**{into: found})
+
+    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in regions.select(*names).schema)
+    return placed.mapInPandas(task, f"{fields}, `{into}` string")
+
+
+def anchors_by_index(loci: DataFrame, fasta: str, c: Config = Config()) -> DataFrame:
+    """As :func:`with_anchors`, reading only the anchors' bases."""
+    ends = loci.select("locus_id", "chrom", F.explode(F.array(
+        F.struct(F.lit("left").alias("side"), F.greatest(F.col("start") - c.anchor_length, F.lit(0)).cast("long").alias("start"), F.col("start").cast("long").alias("end")),
+        F.struct(F.lit("right").alias("side"), F.col("end").cast("long").alias("start"), (F.col("end") + c.anchor_length).cast("long").alias("end")))).alias("e"))
+    bases = fetch(ends.select("locus_id", "chrom", "e.side", "e.start", "e.end"), fasta)
+    side = lambda name: F.max(F.when(F.col("side") == name, F.col("sequence"))).alias(f"{name}_anchor")
+    return loci.join(bases.groupBy("locus_id").agg(side("left"), side("right")), "locus_id").select(*loci.columns, "left_anchor", "right_anchor")
 
 
 def read_gaf(spark: SparkSession, path: str) -> DataFrame:

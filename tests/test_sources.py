@@ -65,6 +65,24 @@ def test_bam(spark, tmp_path, alignments, index):
         assert df.rdd.getNumPartitions() == 3
 
 
+@pytest.mark.parametrize("index", [False, True])
+def test_regions(spark, tmp_path, alignments, index):
+    bamfile.write(tmp_path / "a.bam", *alignments, index=index)
+    bam.register(spark)
+    got = lambda text: sorted(r.query_name for r in spark.read.format("bam").option("regions", text).load(str(tmp_path / "a.bam")).collect())
+    assert got("chr1:100-101") == ["r0"]
+    rows = spark.read.format("bam").load(str(tmp_path / "a.bam")).collect()
+    for text in ("chr1:130-131,chr1:131-141,chr2:53-54", "chr1:0-5000", "chr2:0-1", "chr9:1-2", "chr1:4000-4001,chr1:120-130"):
+        want = [(c, int(a), int(b)) for c, _, ab in (x.rpartition(":") for x in text.split(",")) for a, b in [ab.split("-")]]
+        low = lambda r: any(r.chrom == c and r.pos < b and r.end > a for c, a, b in want)  # noqa: B023, E731
+        wide = got(text)
+        assert len(wide) == len(set(wide)) and {r.query_name for r in rows if low(r)} <= set(wide) <= {r.query_name for r in rows if any(r.chrom == c for c, _, _ in want)}
+
+
+def test_merged_regions():
+    assert bam.merged("b:5-9,a:10-20,a:15-30,a:9000000-9000001") == {"a": [(10, 30), (9000000, 9000001)], "b": [(5, 9)]}
+
+
 def test_folder_of_files(spark, tmp_path, alignments):
     for name in ("a", "b"):
         bamfile.write(tmp_path / f"{name}.bam", *alignments, index=name == "a")
@@ -122,3 +140,23 @@ def test_bad_entries(spark, tmp_path, change):
     (tmp_path / "c.json").write_text(json.dumps([{k: v for k, v in entry.items() if v is not None}]))
     with pytest.raises(Exception, match="A"):
         files.read_catalogue(spark, str(tmp_path / "c.json")).collect()
+
+
+def test_reference_by_index(spark, tmp_path):
+    import random
+
+    r = random.Random(3)
+    contigs = {n: "".join(r.choices("ACGTN", k=k)) for n, k in (("c1", 137), ("c2", 60), ("c3", 1001))}
+    text, fai = "", ""
+    for n, s in contigs.items():
+        text += f">{n} some words\n"
+        fai += f"{n}\t{len(s)}\t{len(text)}\t60\t61\n"
+        text += "".join(s[i : i + 60] + "\n" for i in range(0, len(s), 60))
+    (tmp_path / "g.fa").write_text(text)
+    (tmp_path / "g.fa.fai").write_text(fai)
+    regions = [(n, a, b) for n, s in contigs.items() for a in (-5, 0, 59, 60, 61, len(s) - 1, len(s)) for b in (a, a + 1, a + 130)] + [("c9", 0, 5)]
+    got = {(x.chrom, x.start, x.end): x.sequence for x in files.fetch(spark.createDataFrame(regions, "chrom string, start long, end long"), str(tmp_path / "g.fa")).collect()}
+    assert got == {(n, a, b): contigs[n][max(a, 0) : max(b, 0)] for n, a, b in regions if n in contigs}
+    loci = spark.createDataFrame([("L", "c3", 400, 430), ("M", "c1", 10, 12)], "locus_id string, chrom string, start long, end long")
+    want = files.with_anchors(loci, files.read_fasta(spark, str(tmp_path / "g.fa")), Config(anchor_length=100))
+    assert sorted(map(tuple, files.anchors_by_index(loci, str(tmp_path / "g.fa"), Config(anchor_length=100)).collect())) == sorted(map(tuple, want.collect()))

@@ -30,16 +30,21 @@ def overlaps(reads: DataFrame, loci: DataFrame, on: tuple[str, ...] = (), width:
     return met.where(F.col("bin") == F.floor(F.greatest("read_start", "locus_start") / width)).drop("bin")
 
 
+def split_alignments(alignments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Primary alignments of each locus, and supplementary ones of reads whose primary alignment isn't at the locus; no secondary ones."""
+    own = alignments.where(F.col("flag").bitwiseAND(SECONDARY) == 0)
+    is_supplementary = F.col("flag").bitwiseAND(SUPPLEMENTARY) != 0
+    primary = own.where(~is_supplementary)
+    return primary, own.where(is_supplementary).join(primary.select("locus_id", "query_name").distinct(), ["locus_id", "query_name"], "left_anti")
+
+
 def primary_alignments(alignments: DataFrame, candidates: DataFrame) -> DataFrame:
     """For each locus its primary alignments, and the primary of each supplementary one whose primary lies elsewhere.
 
     ``alignments`` are those that overlap a locus (locus_id, query_name, flag, sa, ...), ``candidates`` all alignments
     (query_name, flag, chrom, pos (0-based), ...).  Secondary ones never count.  The tag's place is 1-based.
     """
-    own = alignments.where(F.col("flag").bitwiseAND(SECONDARY) == 0)
-    is_supplementary = F.col("flag").bitwiseAND(SUPPLEMENTARY) != 0
-    primary = own.where(~is_supplementary)
-    alone = own.where(is_supplementary).join(primary.select("locus_id", "query_name").distinct(), ["locus_id", "query_name"], "left_anti")
+    primary, alone = split_alignments(alignments)
     at = alone.select("locus_id", "query_name", F.split("sa", ",")[0].alias("chrom"), (F.split("sa", ",")[1].cast("long") - 1).alias("pos")).distinct()
     real = candidates.where((F.col("flag").bitwiseAND(SECONDARY | SUPPLEMENTARY)) == 0)
     found = real.join(at, ["query_name", "chrom", "pos"])

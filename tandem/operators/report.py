@@ -34,8 +34,8 @@ def kmers(calls: DataFrame) -> DataFrame:
 
 def top_kmers(k: DataFrame, most: int = 12) -> DataFrame:
     """Reference k-mers by frequency, then observed ones by reads; a report's bounded list."""
-    ref = k.groupBy(F.col("ref_kmer").alias("kmer")).agg(F.count(F.lit(1)).alias("n")).withColumn("n_reads", F.lit(1 << 40))
-    seen = summary.kmer_frequency(k).join(ref.select("kmer"), "kmer", "left_anti")
+    ref = k.where("ref_kmer is not null").groupBy(F.col("ref_kmer").alias("kmer")).agg(F.count(F.lit(1)).alias("n")).withColumn("n_reads", F.lit(1 << 40))
+    seen = summary.kmer_frequency(k.where("kmer <> ''")).join(ref.select("kmer"), "kmer", "left_anti")
     return ref.select("kmer", "n", "n_reads").unionByName(seen.select("kmer", "n", "n_reads")).orderBy(F.desc("n_reads"), F.desc("n"), "kmer").limit(most)
 
 

@@ -21,6 +21,24 @@ def with_units(results: DataFrame, satellites: DataFrame) -> DataFrame:
     return results.join(satellites, ["locus_id", "idx"], "left")
 
 
+def at_loci(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``rows`` of the chosen loci, each once however often a locus is listed."""
+    return rows.join(chosen.select("locus_id"), "locus_id", "left_semi")
+
+
+def weighted_moments(rows: DataFrame, value: str, weight: str) -> DataFrame:
+    """(locus_id, mean, var) of weighted values: one pass of sums."""
+    x, w = F.col(value).cast("double"), F.col(weight).cast("double")
+    g = rows.groupBy("locus_id").agg(F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * x * x).alias("wxx"))
+    mean = F.col("wx") / F.col("w")
+    return g.select("locus_id", mean.alias("mean"), (F.col("wxx") / F.col("w") - mean * mean).alias("var"))
+
+
+def both_kinds(good: DataFrame, removed: DataFrame) -> DataFrame:
+    """Rows of both tables with their ``kind``, by column name."""
+    return good.withColumn("kind", F.lit("good")).unionByName(removed.withColumn("kind", F.lit("removed")), allowMissingColumns=True)
+
+
 def majority(items: DataFrame) -> DataFrame:
     """(locus_id, pos, symbol, votes) from (locus_id, pos, symbol, seq): the most frequent, of equally frequent the first seen."""
     votes = items.groupBy("locus_id", "pos", "symbol").agg(F.count(F.lit(1)).alias("votes"), F.min("seq").alias("first"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +12,10 @@ from tandem import views as V
 from tandem.functions import columns as C
 from tandem.operators import calls as calls_
 from tandem.operators import consensus as consensus_
-from tandem.operators import genotype, qc, reads, summary
+from tandem.functions import alignment
+from tandem.operators import genotype, qc, reads, report, summary, vcf
+from tandem.shipping import ship
+from tandem.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,9 +128,8 @@ def left_join_satellites(spark, sf_dir):
 @query("""select l_partkey as locus_id, round(sum(l_quantity * l_extendedprice) / sum(l_extendedprice), 6) as mean,
     round(sum(l_extendedprice * l_quantity * l_quantity) / sum(l_extendedprice) - power(sum(l_quantity * l_extendedprice) / sum(l_extendedprice), 2), 3) as var from lineitem group by 1""")
 def weighted_mean(spark, sf_dir):
-    w, x = F.col("l_extendedprice"), F.col("l_quantity")
-    mean = F.sum(w * x) / F.sum(w)
-    return V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("locus_id")).agg(r6(mean).alias("mean"), F.round(F.sum(w * x * x) / F.sum(w) - mean * mean, 3).alias("var"))
+    rows = V.table(spark, sf_dir, "lineitem").withColumn("locus_id", F.col("l_partkey"))
+    return summary.weighted_moments(rows, "l_quantity", "l_extendedprice").select("locus_id", r6(F.col("mean")).alias("mean"), F.round("var", 3).alias("var"))
 
 
 @query("""with g as (select user_id as locus_id, (event_id % 7)::int as pos, event_type as symbol, min(event_id) as seq, count(*) as votes from events group by 1, 2, 3)
@@ -222,12 +225,15 @@ def kmer_other_bucket(spark, sf_dir):
     return summary.bucket_others(p, summary.top_kmers(summary.kmer_frequency(p))).groupBy("query_name", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""with {V.V_SYMBOL_RUNS}, z as (select query_name, unnest(range(len(kmers)))::int as idx, unnest(kmers) as obs, unnest(list_reverse(kmers)) as ref,
-    unnest([len(k) for k in kmers])::int as size from v_symbol_runs) select * from z""")
+@query(f"""with {V.V_SYMBOL_RUNS}, z as (select query_name, len(kmers) as n, unnest(range(len(kmers)))::int as idx, unnest(kmers) as kmer, unnest(list_reverse(kmers)) as ref_kmer from v_symbol_runs)
+    select query_name, idx, kmer, ref_kmer, (ascii(upper(kmer)) - 33)::double as quality, (least(ascii(kmer), 43) - 33)::int * 10 as mod_5mc, (idx + 0)::int as place from z""")
 def kmers_zip_explode(spark, sf_dir):
-    k = V.symbol_runs(spark, sf_dir)
-    zipped = F.arrays_zip(F.col("kmers").alias("obs"), F.reverse("kmers").alias("ref"), F.transform("kmers", F.length).alias("size"))
-    return k.select("query_name", F.posexplode(zipped).alias("idx", "z")).select("query_name", "idx", "z.obs", "z.ref", "z.size")
+    """K-mers of reads as a report takes them; qualities and methylation are written as characters."""
+    first = lambda x: F.substring(x, 1, 1)
+    calls = V.symbol_runs(spark, sf_dir).select(
+        F.lit("all").alias("locus_id"), "query_name", F.lit("h1").alias("haplotype"), F.lit("spanning").alias("alignment_type"), F.col("kmers").alias("obs_kmers"), F.reverse("kmers").alias("ref_kmers"),
+        F.transform("kmers", lambda x: F.chr(F.least(F.ascii(x), F.lit(43)))).alias("mod_5mc_kmers"), F.transform("kmers", lambda x: first(F.upper(x))).alias("qual_kmers"))
+    return report.kmers(calls).select("query_name", "idx", "kmer", "ref_kmer", "quality", F.col("mod_5mc").cast("int").alias("mod_5mc"), "place")
 
 
 @query(f"""with {V.V_SYMBOL_RUNS}, e as (select query_name, unnest(range(len(kmers))) as i, unnest(kmers) as k from v_symbol_runs),
@@ -238,11 +244,11 @@ def run_length_contract(spark, sf_dir):
     return V.symbol_runs(spark, sf_dir).select("query_name", C.contract_runs(F.col("kmers")).alias("contracted"))
 
 
-_SETS = """a as (select distinct event_type || (user_id % 5) as kmer from events where value < 5), b as (select distinct event_type || (user_id % 5) as kmer from events where value > 20)"""
+_SETS = """a as (select distinct event_type || (user_id % 500) as kmer from events where value < 5), b as (select distinct event_type || (user_id % 500) as kmer from events where value > 20)"""
 
 
 def _sets(spark, sf_dir):
-    e, k = V.table(spark, sf_dir, "events"), F.concat("event_type", (F.col("user_id") % 5).cast("string")).alias("kmer")
+    e, k = V.table(spark, sf_dir, "events"), F.concat("event_type", (F.col("user_id") % 500).cast("string")).alias("kmer")
     return e.where("value < 5").select(k), e.where("value > 20").select(k)
 
 
@@ -270,22 +276,24 @@ def interval_join(spark, sf_dir):
 @query("""select l_orderkey as query_name, l_partkey, l_suppkey, l_linenumber from lineitem l where l_returnflag = 'R' and not exists (
     select 1 from lineitem p where p.l_returnflag <> 'R' and p.l_orderkey = l.l_orderkey)""")
 def anti_join(spark, sf_dir):
-    a = V.table(spark, sf_dir, "lineitem")
-    primary = a.where("l_returnflag <> 'R'").select("l_orderkey")
-    return a.where("l_returnflag = 'R'").join(primary, "l_orderkey", "left_anti").select(F.col("l_orderkey").alias("query_name"), "l_partkey", "l_suppkey", "l_linenumber")
+    """Returned items as supplementary alignments: those of orders without any other."""
+    a = V.table(spark, sf_dir, "lineitem").select(
+        F.lit("all").alias("locus_id"), F.col("l_orderkey").alias("query_name"), F.when(F.col("l_returnflag") == "R", reads.SUPPLEMENTARY).otherwise(0).alias("flag"), "l_partkey", "l_suppkey", "l_linenumber")
+    return reads.split_alignments(a)[1].select("query_name", "l_partkey", "l_suppkey", "l_linenumber")
 
 
 @query("select l_partkey as locus_id, count(*) as n from lineitem where l_partkey in (select p_partkey from part where p_size < 10) group by 1")
 def semi_join(spark, sf_dir):
-    chosen = V.table(spark, sf_dir, "part").where("p_size < 10").select(F.col("p_partkey").alias("l_partkey"))
-    return V.table(spark, sf_dir, "lineitem").join(chosen, "l_partkey", "left_semi").groupBy(F.col("l_partkey").alias("locus_id")).agg(F.count(F.lit(1)).alias("n"))
+    chosen = V.table(spark, sf_dir, "part").where("p_size < 10").select(F.col("p_partkey").alias("locus_id"))
+    rows = V.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("locus_id"))
+    return summary.at_loci(rows, chosen).groupBy("locus_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select 'good' as kind, l_orderkey as query_name, l_partkey as locus_id from lineitem where l_returnflag = 'N' union all select 'removed', l_orderkey, l_partkey from lineitem where l_returnflag = 'R'")
 def union_reads(spark, sf_dir):
-    a = V.table(spark, sf_dir, "lineitem")
-    part = lambda flag, kind: a.where(F.col("l_returnflag") == flag).select(F.lit(kind).alias("kind"), F.col("l_orderkey").alias("query_name"), F.col("l_partkey").alias("locus_id"))
-    return part("N", "good").unionByName(part("R", "removed"))
+    a = V.table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_orderkey").alias("query_name"), F.col("l_partkey").alias("locus_id"))
+    part = lambda flag: a.where(F.col("l_returnflag") == flag).drop("l_returnflag")
+    return summary.both_kinds(part("N"), part("R"))
 
 
 @query("""with n as (select user_id as locus_id, event_type as name, event_id, row_number() over (partition by user_id, event_type order by event_id) - 1 as turn from events)
@@ -447,17 +455,6 @@ def vcf_sort(spark, sf_dir):
     return ranked.withColumn("place", F.row_number().over(Window.orderBy("ord", "start", "end", "p_partkey")).cast("long")).select("p_partkey", "chrom", "place")
 
 
-@query("""select l_partkey as locus_id, '<STR' || floor(avg(l_quantity))::int || '>' as alt, round(avg(l_quantity), 3) as repcn,
-    round(min(l_quantity), 3)::int || '-' || round(max(l_quantity), 3)::int as repci, count(*)::int || ',' || count(*) filter (l_returnflag = 'N')::int as ad from lineitem group by 1""")
-def vcf_format(spark, sf_dir):
-    q = F.col("l_quantity")
-    return V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("locus_id")).agg(
-        F.concat(F.lit("<STR"), F.floor(F.avg(q)).cast("string"), F.lit(">")).alias("alt"), F.round(F.avg(q), 3).alias("repcn"),
-        F.concat_ws("-", F.min(q).cast("int").cast("string"), F.max(q).cast("int").cast("string")).alias("repci"),
-        F.concat_ws(",", F.count(F.lit(1)).cast("string"), F.count_if(F.col("l_returnflag") == "N").cast("string")).alias("ad"),
-    )
-
-
 # --- kernels; SQL has no counterpart ---------------------------------------------------------------------------------
 
 
@@ -514,8 +511,137 @@ def consensus(spark, sf_dir):
     return found.select("locus_id", "haplotype", "kind", C.contract_runs(F.col("kmers")).alias("contracted"), "spanning_reads", "flanking_reads")
 
 
+@query("""select p_partkey, a, b, round(case when greatest(len(a), len(b)) = 0 then 0 else levenshtein(a, b) / greatest(len(a), len(b)) end, 6) as rate
+    from (select p_partkey, p_name as a, p_type || p_brand as b from part)""")
+def levenshtein_rate(spark, sf_dir):
+    """The weighted rate with both weights 1."""
+    ship(spark)
+
+    @F.pandas_udf("double")
+    def rate(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([alignment.levenshtein_rate(x, y, 1.0, 1.0) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    rows = V.table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("a"), F.concat("p_type", "p_brand").alias("b"))
+    return rows.select("p_partkey", "a", "b", r6(rate("a", "b")).alias("rate"))
+
+
 @query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(case when greatest(len(a), len(b)) = 0 then 0 else levenshtein(a, b) / greatest(len(a), len(b)) end, 6) as rate
     from (select *, p_name as a, l_returnflag || p_brand as b from lineitem join part on l_partkey = p_partkey)""")
-def levenshtein_rate(spark, sf_dir):
+def levenshtein_share(spark, sf_dir):
     rows = V.table(spark, sf_dir, "lineitem").join(V.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6(C.levenshtein_share(F.col("p_name"), F.concat("l_returnflag", "p_brand"))).alias("rate"))
+
+
+# --- report and files ------------------------------------------------------------------------------------------------
+
+_ORDER = "case l_returnflag when 'A' then 1 when 'N' then 2 else 3 end"
+
+
+def _plotted(spark, sf_dir):
+    """Line items as labelled reads; the haplotype is the last digit of the supplier, 0 an outlier."""
+    kind = F.when(F.col("l_returnflag") == "N", "spanning").when(F.col("l_returnflag") == "A", "left_flanking").otherwise("right_flanking")
+    label = F.when(F.col("l_suppkey") % 10 == 0, "outlier").when(F.col("l_suppkey") % 10 < 5, "h1").otherwise("h2")
+    return V.table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").cast("string").alias("locus_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey").alias("query_name"), label.alias("haplotype"), kind.alias("alignment_type"),
+        F.col("l_quantity").cast("int").alias("length"), F.array(F.col("l_quantity").cast("int"), "l_linenumber").alias("kmer_count"), F.col("l_discount").alias("mean_str_quality"), F.col("l_tax").alias("str_error_rate"))
+
+
+_PLOTTED = f"""v as (select l_partkey::varchar as locus_id, l_orderkey || '-' || l_linenumber || '-' || l_suppkey as query_name,
+    case when l_suppkey % 10 = 0 then 'outlier' when l_suppkey % 10 < 5 then 'h1' else 'h2' end as haplotype, {_ORDER} as kind, l_returnflag, l_quantity::int as length, l_linenumber, l_discount, l_tax from lineitem)"""
+
+
+@query(f"""with {_PLOTTED}, o as (select *, row_number() over (partition by locus_id order by haplotype, kind, case when kind = 3 then -length else length end, query_name) as read_id from v),
+    g as (select locus_id, haplotype, min(read_id) as a, max(read_id) as b, count(*) as size from o group by 1, 2)
+    select locus_id, haplotype, (a - case when size < 10 then 0.5 else 0 end)::double as first, (b + case when size < 10 then 0.5 else 0 end)::double as last, size from g""")
+def report_group_sizes(spark, sf_dir):
+    return report.group_sizes(summary.read_order(_plotted(spark, sf_dir), "query_name"))
+
+
+@query(f"""with {_PLOTTED}, n as (select locus_id, count(*) filter (haplotype <> 'outlier') as haplotyped, count(*) filter (haplotype = 'outlier') as outliers from v group by 1),
+    f as (select locus_id, count(*) as filtered from v where l_linenumber = 7 group by 1)
+    select n.locus_id, 'chr1' as chrom, n.locus_id::bigint * 100 as start, n.locus_id::bigint * 100 + 9 as "end", '(CAG)*' as structure,
+    'http://localhost:60151/goto?locus=chr1:' || (n.locus_id::bigint * 100) || '-' || (n.locus_id::bigint * 100 + 9) as link, haplotyped, outliers, coalesce(filtered, 0) as filtered from n left join f using (locus_id)""")
+def report_regions(spark, sf_dir):
+    r = _plotted(spark, sf_dir)
+    at = F.col("locus_id").cast("long") * 100
+    loci = r.select("locus_id").distinct().select("locus_id", F.lit("chr1").alias("chrom"), at.alias("start"), (at + 9).alias("end"), F.lit("(CAG)*").alias("structure"))
+    return report.regions(r, r.where(F.element_at("kmer_count", 2) == 7), loci)
+
+
+@query(f"""with {_PLOTTED}, c as (select locus_id, case when l_returnflag = 'N' then 'spanning' else 'flanking' end as kind, unnest([0, 1])::int as idx, unnest([length, l_linenumber]) as x from v),
+    w as (select locus_id, idx, ceil(greatest(max(x), 1) / least(100, greatest(max(x), 1))) as width from c group by 1, 2)
+    select locus_id, idx, kind, (floor(x / width) * width)::bigint as bin, count(*) as n from c join w using (locus_id, idx) group by all""")
+def report_lengths(spark, sf_dir):
+    return report.lengths(_plotted(spark, sf_dir))
+
+
+@query(f"with {_PLOTTED} select locus_id, haplotype, l_discount as mean_str_quality, l_tax as str_error_rate from v")
+def report_quality_points(spark, sf_dir):
+    return report.quality_points(_plotted(spark, sf_dir))
+
+
+def _coloured(spark, sf_dir):
+    e = V.table(spark, sf_dir, "events")
+    own = F.concat("event_type", F.lit("_"), (F.col("user_id") % 9).cast("string"))
+    ref = F.when(F.col("event_id") % 3 == 0, F.concat("event_type", F.lit("_0")))
+    return e.select(F.col("user_id").alias("query_name"), own.alias("kmer"), ref.alias("ref_kmer"), F.when(F.col("value") > 10, "outlier").otherwise("h1").alias("haplotype"))
+
+
+_COLOURED = """v as (select user_id as query_name, event_type || '_' || (user_id % 9) as kmer, case when event_id % 3 = 0 then event_type || '_0' end as ref_kmer,
+    case when value > 10 then 'outlier' else 'h1' end as haplotype from events)"""
+
+
+@query(f"""with {_COLOURED} select kmer, count(*) as n from v where haplotype = 'outlier' and (len(kmer) < 8 or kmer in (select ref_kmer from v where ref_kmer is not null)) group by 1 order by n desc, kmer limit 12""")
+def report_outlier_kmers(spark, sf_dir):
+    return report.outlier_kmers(_coloured(spark, sf_dir), longest=8)
+
+
+@query(f"""with {_COLOURED}, r as (select ref_kmer as kmer, count(*) as n, 1099511627776 as n_reads from v where ref_kmer is not null group by 1),
+    o as (select kmer, count(*) as n, count(distinct query_name) as n_reads from v where kmer not in (select kmer from r) group by 1)
+    select * from (select * from r union all select * from o) order by n_reads desc, n desc, kmer limit 12""")
+def report_top_kmers(spark, sf_dir):
+    return report.top_kmers(_coloured(spark, sf_dir))
+
+
+@query(f"""with {V.V_SEQUENCES} select '@' || query_name || chr(10) || sequence || chr(10) || '+' || chr(10) || repeat('+', len(sequence)) as value from v_sequences""")
+def fastq_records(spark, sf_dir):
+    s = V.sequences(spark, sf_dir)
+    return files.fastq(s.select(F.col("query_name").cast("string").alias("query_name"), "sequence", F.array_repeat(F.lit(10), F.length("sequence")).alias("qualities")))
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::int || '-' || l_linenumber as kmer_count, case when l_tax > 0.05 then 'high_tax;returned' else '' end as outlier_reasons, l_returnflag || '|' || l_linestatus as obs_kmers from lineitem""")
+def delimited_table(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    t = V.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array(F.col("l_quantity").cast("int"), "l_linenumber").alias("kmer_count"),
+        F.when(F.col("l_tax") > 0.05, F.array(F.lit("high_tax"), F.lit("returned"))).otherwise(none).alias("outlier_reasons"), F.array("l_returnflag", "l_linestatus").alias("obs_kmers"))
+    return files.delimited(t)
+
+
+@query("""select p_partkey, (p_size % 4)::int as first, (p_size % 3)::int as second, 1 as third from part""")
+def path_counts(spark, sf_dir):
+    """Paths of node names with as many visits as the size says; ``satellite_1`` isn't ``satellite_10``."""
+    n = lambda name, k: F.array_repeat(F.lit(name), F.col("p_size") % k)
+    path = F.concat(F.array(F.lit("left_anchor")), n("satellite_0", 4), n("satellite_1_0_A", 3), F.array(F.lit("sub_satellite_1_1"), F.lit("satellite_10"), F.lit("right_anchor")))
+    p = V.table(spark, sf_dir, "part").select("p_partkey", path.alias("path")).withColumn("c", files.path_counts(F.col("path"), 11))
+    return p.select("p_partkey", F.col("c")[0].alias("first"), F.col("c")[1].alias("second"), F.col("c")[10].alias("third"))
+
+
+@query("""with a as (select l_partkey, l_partkey::varchar as locus_id, 'chr' || (l_partkey % 13) as chrom, l_partkey * 10 as start, l_partkey * 10 + 6 as "end", round(avg(l_quantity), 3) as m, min(l_quantity)::int as lo, max(l_quantity)::int as hi,
+        count(*) filter (l_returnflag = 'N') as sp, count(*) filter (l_returnflag <> 'N') as fl from lineitem group by l_partkey)
+    select chrom, start, "end", chrom || chr(9) || start || chr(9) || 'Tandem.' || locus_id || '.1' || chr(9) || substr(repeat('ACGTTGCA', 40000), (start + 1)::int, 6) || chr(9) || '<STR' || floor(m)::int || '>' || chr(9) || '.' || chr(9) || 'PASS'
+        || chr(9) || 'END=' || "end" || ';LOCUSID=' || locus_id || ';RU=CAG;REPID=' || locus_id || chr(9) || 'GT:LC:AD:ADSP:ADFL:REPCN:REPCI' || chr(9)
+        || '1:' || (sp + fl) || ':' || (sp + fl) || ':' || sp || ':' || fl || ':' || m::varchar || ':' || lo || '.0-' || hi || '.0' as value from a""")
+def vcf_format(spark, sf_dir):
+    """A variant line a part: the genotype is the mean quantity."""
+    q, name = F.col("l_quantity").cast("double"), F.col("l_partkey").cast("string").alias("locus_id")
+    items = V.table(spark, sf_dir, "lineitem")
+    fit = items.groupBy(name).agg(F.round(F.avg(q), 3).alias("mean"), F.min(q).alias("low"), F.max(q).alias("high"))
+    one = F.struct(F.array("mean").alias("mean"), F.array("low").alias("mean_lower"), F.array("high").alias("mean_upper"))
+    loci = fit.select("locus_id", F.lit(False).alias("is_significant"), one.alias("h1"), one.alias("h2"), one.alias("hom"))
+    calls = items.select(name, F.lit("hom").alias("haplotype"), F.when(F.col("l_returnflag") == "N", "spanning").otherwise("left_flanking").alias("alignment_type"))
+    at = F.col("locus_id").cast("long") * 10
+    units = fit.select("locus_id", F.lit(0).alias("idx"), F.lit("CAG").alias("satellite"), F.col("locus_id").alias("satellite_id"), F.concat(F.lit("chr"), (F.col("locus_id").cast("long") % 13).cast("string")).alias("chrom"), at.alias("start"), (at + 6).alias("end"))
+    reference = spark.range(13).select(F.concat(F.lit("chr"), F.col("id").cast("string")).alias("chrom"), F.repeat(F.lit("ACGTTGCA"), F.lit(40000)).alias("sequence"))
+    order = spark.range(10).select(F.concat(F.lit("chr"), F.col("id").cast("string")).alias("chrom"), F.col("id").alias("ord"))
+    return vcf.records(vcf.alleles(loci, calls), units, reference, order).select("chrom", "start", "end", "value")

@@ -498,8 +498,11 @@ def _simulated(spark, sf_dir):
     return calls_.align(reads_, loci)
 
 
-@query()
+@query("""select case when p_partkey % 2 = 0 then 'one' else 'two' end as locus_id, p_partkey::varchar as query_name, null::varchar as error_flags, case when p_partkey % 7 = 0 then 'left_flanking' else 'spanning' end as alignment_type,
+    case when p_partkey % 2 = 0 then p_size::varchar else p_size || '-' || (p_size % 5) end as kmer_count,
+    case when p_partkey % 2 = 0 then p_size || '(CAG)' else p_size || '(GAA)-1(TTC)' || case when p_size % 5 > 0 then '-' || (p_size % 5) || '(CCG)' else '' end end as contracted from part where p_size > 0""")
 def graph_align(spark, sf_dir):
+    """The reads are made with as many units as the size says, and the aligner has to find them."""
     a = _simulated(spark, sf_dir)
     return a.select("locus_id", "query_name", "error_flags", "alignment_type", F.array_join(F.col("kmer_count").cast("array<string>"), "-").alias("kmer_count"), C.contract_runs(F.coalesce("obs_kmers", F.array().cast("array<string>"))).alias("contracted"))
 

@@ -11,8 +11,15 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+#: Bytes of rows that go to a Python task at once, whatever their number: rows here are texts and reads of any length.
+BATCH = 4 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Adds the package's source to the Python path of all tasks, once an application."""
+    """Adds the package's source to the Python path of all tasks, once an application, and bounds the batches that they get."""
+    if spark.conf.get(_LIMIT, str(BATCH)) == str(BATCH):  # unless the session has its own
+        spark.conf.set(_LIMIT, str(BATCH))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return

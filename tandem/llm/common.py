@@ -1,65 +1,69 @@
-"""What the operators share: checkpoints, ids, Arrow tasks."""
+"""What the operators share: written tables, ids, Arrow tasks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.shipping import ship
+from tandem.tables import shared_dir, written
+
+__all__ = ["WORD", "alone", "arrow_map", "held", "int_lists", "let_go", "list_values", "one_per_id", "record", "shared_dir", "written"]
 
 #: The separators of words, for Java's and DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder's name under the one that ``spark.checkpoint.dir`` names.
+def one_per_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text) with one row an id.
 
-    Where the setting is absent (tests, one machine) a temporary folder stands in and is set as the session's.
+    Rows without an id can't be named in a result and take no part.  Where an id comes back, equal rows count once
+    and of different texts the smallest stands (a null only if alone).  Ids are checked by a count over ids alone;
+    only where one repeats are texts dealt out for the choice.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tandem-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tandem-{uuid.uuid4().hex}"
+    own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("doc_id").isNotNull())
+    repeated = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return own.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else own
 
 
-#: Spark's setting by which a query's shuffle files go when the query has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_held: dict[Any, Any] = {}
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: lineage ends there, lost executors don't matter.
+def alone(owner: str) -> None:
+    """Called by a task when it begins: what tasks of other operators have left in this worker goes.
 
-    The shuffle files of this one write go as soon as it has ended: nothing reads them again.
+    Spark uses a Python worker for stage after stage, so tables that one operator keeps (vocabularies, known pre-tokens) would
+    else stay while the next one works.
     """
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    if _held.get("owner") != owner:
+        _held.clear()
+        _held["owner"] = owner
+        let_go()
 
 
-def one_per_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text) with one row an id.
+def let_go() -> None:
+    """Gives memory that this process has freed back to the system, which pools else keep."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library: memory goes back later
+        pass
 
-    Rows without an id can't be named in a result and take no part.  Where an id comes back, equal rows count once
-    and of different texts the smallest stands (a null only if alone).  Ids are checked by a count over ids alone;
-    only where one repeats are texts dealt out for the choice.
-    """
-    own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("doc_id").isNotNull())
-    repeated = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return own.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else own
+
+def held(owner: str, key: Any, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept in this worker as long as tasks of the same ``owner`` run."""
+    alone(owner)
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
 
 
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
@@ -71,6 +75,7 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict]], sche
     to = to_arrow_schema(StructType.fromDDL(schema))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(f.__module__)
         for batch in batches:
             for columns in f(batch):
                 yield record(columns, to)

@@ -117,6 +117,13 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return h
 
 
+def heads(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each span as a number."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))[starts] & _MASK[np.minimum(ends - starts, 8)]
+
+
 def double(h: np.ndarray, length: int) -> np.ndarray:
     """From hashes of all windows of ``length`` words to those of twice the length (shorter by ``length``)."""
     return mix(h[:-length] * _C1 + (h[length:] ^ _C3)) if len(h) > length else h[:0]

@@ -24,23 +24,29 @@ SPACE, LETTER, NUMBER, OTHER = range(4)
 ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 
 
-def _all_text() -> str:
-    return "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+#: Code points that can be white space, letters or numbers: planes 4 to 13 have no characters, 15 and 16 are for private use.
+_RANGES = ((0, 0xD800), (0xE000, 0x40000), (0xE0000, 0xE1000))
+#: Characters that the library is asked about at once: it takes longer a character the longer the text.
+_ASK = 4096
 
 
-def _by_tiktoken(pattern: str) -> list[str]:
+def _all_text() -> list[str]:
+    return [np.arange(i, min(i + _ASK, b), dtype="<u4").tobytes().decode("utf-32-le") for a, b in _RANGES for i in range(a, b, _ASK)]
+
+
+def _by_tiktoken(pattern: str) -> str:
     """All characters that the pattern matches, as tiktoken's engine sees it."""
     import tiktoken
 
     own = tiktoken.Encoding("classes", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
-    return list(bytes(own.encode_ordinary(_all_text())).decode())
+    return "".join(bytes(own.encode_ordinary(text)).decode() for text in _all_text())
 
 
-def _by_tokenizers(pattern: str) -> list[str]:
+def _by_tokenizers(pattern: str) -> str:
     from tokenizers import Regex, pre_tokenizers
 
     split = pre_tokenizers.Split(Regex(pattern), behavior="removed", invert=True)
-    return [c for piece, _ in split.pre_tokenize_str(_all_text()) for c in piece]
+    return "".join(piece for text in _all_text() for piece, _ in split.pre_tokenize_str(text))
 
 
 @cache
@@ -49,7 +55,7 @@ def _classes(engine: str) -> np.ndarray:
     ask = {"tiktoken": _by_tiktoken, "tokenizers": _by_tokenizers}[engine]
     out = np.full(0x110000, OTHER, dtype=np.uint8)
     for pattern, kind in ((r"\s", SPACE), (r"\p{L}", LETTER), (r"\p{N}", NUMBER)):
-        out[np.array([ord(c) for c in ask(pattern)], dtype=np.int64)] = kind
+        out[np.frombuffer(ask(pattern).encode("utf-32-le"), dtype=np.uint32)] = kind
     return out
 
 

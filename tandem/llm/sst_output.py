@@ -18,13 +18,12 @@ index by halving and reads one block.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
-from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm import kernels as K
-from tandem.llm.common import int_lists, one_per_id, record, shared_dir, written
+from tandem.llm.common import alone, held, int_lists, one_per_id, record, shared_dir, written
 from tandem.llm.pretokens import distinct_pieces, piece_starts
 from tandem.llm.ranges import bounds, part_of, parts_for
 from tandem.shipping import ship
@@ -42,8 +41,9 @@ BLOCK = 128 << 10
 HASHES = 7
 BITS = 10
 FOOTER = struct.Struct("<QIQIQQBIQ8s")
-#: Distinct pre-tokens whose ids a worker keeps, those it asks the library for at once, and the texts (bytes) it takes at once.
-CACHE, ASK, TAKE = 150_000, 4096, 2 << 20
+#: Distinct pre-tokens whose ids a worker keeps (some 40 bytes each), those it asks the library for in one text, and the texts (bytes) it
+#: takes at once.
+CACHE, ASK, TAKE = 1 << 20, 256, 2 << 20
 
 
 def key_of(doc_id: int) -> bytes:
@@ -77,6 +77,7 @@ class Writer:
         self.file, self.width, self.end_id = file, width, end_id
         self.entries, self.size, self.in_block, self.last = [], 0, 0, b""
         self.index, self.offset, self.documents, self.tokens, self.keys = [], 0, 0, 0, []
+        self.first_id = self.last_id = None
         self.zstd = pa.Codec("zstd", compression_level=1)
 
     def add(self, doc_id: int, ids: np.ndarray) -> None:
@@ -92,6 +93,7 @@ class Writer:
         self.size += len(entry)
         self.in_block += 1
         self.last = key
+        self.first_id, self.last_id = self.first_id if self.documents else doc_id, doc_id
         self.documents += 1
         self.tokens += len(ids)
         self.keys.append(doc_id)
@@ -177,10 +179,52 @@ class Reader:
             yield from self.block(i)
 
 
+class Known:
+    """Ids of pre-tokens by their hash, in sorted arrays: a large one and a small one that is merged into it as it grows.
+
+    A pre-token counts as known if hash, length and first eight bytes agree.
+    """
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
+        self.tiers = [np.zeros((0, 4), dtype=np.uint64), np.zeros((0, 4), dtype=np.uint64)]  # rows: hash, length and head, first id, ids
+
+    def __len__(self) -> int:
+        return sum(map(len, self.tiers))
+
+    def find(self, h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each one's first place in ``flat``, -1 if unknown, and number of ids."""
+        first, n = np.full(len(h), -1, dtype=np.int64), np.zeros(len(h), dtype=np.int64)
+        for t in self.tiers:
+            if len(t):
+                at = np.minimum(np.searchsorted(t[:, 0], h), len(t) - 1)
+                ok = (t[at, 0] == h) & (t[at, 1] == check)
+                first[ok], n[ok] = t[at[ok], 2], t[at[ok], 3]
+        return first, n
+
+    def add(self, h: np.ndarray, check: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """Pre-tokens that aren't known yet, each hash once."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        first = self.used + np.cumsum(n) - n
+        self.used += len(ids)
+        rows = np.concatenate([self.tiers[1], np.stack([h, check, first.astype(np.uint64), n.astype(np.uint64)], axis=1)])
+        self.tiers[1] = rows[np.argsort(rows[:, 0], kind="stable")]
+        if 4 * len(self.tiers[1]) > len(self.tiers[0]):
+            rows = np.concatenate(self.tiers)
+            self.tiers = [rows[np.argsort(rows[:, 0], kind="stable")], rows[:0]]
+
+
 class LibraryEncoder:
     """Ids by the tokenizers library, asked once for each distinct pre-token of a worker's recent texts.
 
     The library cuts a text into the same pre-tokens and encodes each alone, so ids of pre-tokens put together are the ids of the text.
+    Before that it cuts out the strings of its added tokens, so texts that hold one are cut there first.  Some pre-tokens at a time go to
+    the library as one text, with an added token's string between them, whose id shows where each one's ids end.
     """
 
     def __init__(self, path: str):
@@ -188,37 +232,79 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = {t.content.encode(): (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.content}
+        if any(t.lstrip or t.rstrip or t.single_word for _, t in added.values()):
+            raise ValueError("added tokens that take more than their own string aren't supported")
+        self.added = {c: i for c, (i, _) in added.items()}
+        self.cut = re.compile(b"(" + b"|".join(re.escape(c) for c in sorted(added, key=len, reverse=True)) + b")") if added else None
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.cache: dict[bytes, bytes] = {}  # ids as little-endian 32-bit integers
+        self.known = Known()
+
+    def ask(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pre-tokens, one after another, and how many each has."""
+        ids, n = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        if not self.added:
+            for i in range(0, len(pieces), 4096):
+                got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[i : i + 4096], add_special_tokens=False)]
+                ids += [np.array(x, dtype=np.uint32) for x in got]
+                n.append(np.array([len(x) for x in got], dtype=np.int64))
+            return np.concatenate(ids), np.concatenate(n)
+        between, mark = next(iter(self.added.items()))
+        join = between.decode().join
+        for i in range(0, len(pieces), ASK):
+            part = pieces[i : i + ASK]
+            (e,) = self.tokenizer.encode_batch_fast([join(part)], add_special_tokens=False)
+            got = np.array(e.ids, dtype=np.uint32)
+            ends = np.append(np.flatnonzero(got == mark), len(got))
+            if len(ends) != len(part):
+                raise ValueError("a pre-token holds an added token")
+            ids.append(np.delete(got, ends[:-1]))
+            n.append(np.diff(ends, prepend=-1) - 1)
+        return np.concatenate(ids), np.concatenate(n)
 
     def encode(self, texts: K.Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and each text's first."""
+        raw = texts.data.tobytes()
+        if not any(c in raw for c in self.added):
+            return self._ordinary(texts, raw)
+        parts = [self.cut.split(texts.bytes(i)) for i in range(len(texts))]  # every second part is an added token
+        plain = K.Texts.of([x for p in parts for x in p[::2]])
+        ids, first = self._ordinary(plain, plain.data.tobytes())
+        out, size, at = [], [], 0
+        for p in parts:
+            n = 0
+            for j, x in enumerate(p):
+                own = np.array([self.added[x]], dtype=ids.dtype) if j % 2 else ids[first[at] : first[at + 1]]
+                at += 1 - j % 2
+                out.append(own)
+                n += len(own)
+            size.append(n)
+        return np.concatenate(out), np.concatenate([[0], np.cumsum(size)])
+
+    def _ordinary(self, texts: K.Texts, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         starts, first = piece_starts(texts, "tokenizers")
         code, rep = distinct_pieces(texts, starts)
-        ends = np.append(starts[1:], len(texts.data))
-        raw = texts.data.tobytes()
-        pieces = [raw[a:b] for a, b in zip(starts[rep].tolist(), ends[rep].tolist(), strict=True)]
-        known = self.cache
-        new = [p for p in pieces if p not in known]
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = pieces
-        own: dict[bytes, bytes] = {}
-        for i in range(0, len(new), ASK):  # the library's results are large; only the ids are kept
-            part = new[i : i + ASK]
-            got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)
-            own.update((p, array("I", e.ids).tobytes()) for p, e in zip(part, got, strict=True))
-        found = [own[p] if p in own else known[p] for p in pieces]
-        known.update((p, ids) for p, ids in own.items() if len(p) <= 64)
-        of = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4)])
-        flat = np.frombuffer(b"".join(found), dtype=np.uint32)
-        at, cut = K.ragged(of, code)
-        return flat[at], cut[first]
-
-
-@cache
+        if not len(rep):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        a, b = starts[rep], np.append(starts[1:], len(texts.data))[rep]
+        h = K.hash_spans(texts.data, a, b)
+        check = K.mix(K.heads(texts.data, a, b) + (b - a).astype(K.U64) * K._C2)
+        if len(self.known) + len(rep) > CACHE:
+            self.known.clear()
+        at, n = self.known.find(h, check)
+        new = np.flatnonzero(at < 0)
+        flat = self.known.flat
+        if len(new):
+            ids, size = self.ask([raw[i:j].decode("utf-8", "replace") for i, j in zip(a[new].tolist(), b[new].tolist(), strict=True)])
+            at[new], n[new] = self.known.used + np.cumsum(size) - size, size
+            flat = np.concatenate([self.known.flat[: self.known.used], ids])
+            self.known.add(h[new], check[new], ids, size)
+        cut = np.concatenate([[0], np.cumsum(n[code])])
+        return flat[np.arange(cut[-1]) + np.repeat(at[code] - cut[:-1], n[code])], cut[first]
+
+
 def encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
+    return held(__name__, path, lambda: LibraryEncoder(path))
 
 
 def _open(uri: str):
@@ -231,7 +317,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     """Writes the shards into the folder ``path``, a URI that all executors reach; returns the manifest.
 
     Documents are dealt in ranges of their id, so shard after shard the ids ascend; a range is one file.  The manifest (shard,
-    path, documents, tokens before, tokens) has a row a shard; a file that isn't in it comes from a task that was lost and counts
+    path, least and greatest id, documents, tokens before, tokens) has a row a shard; a file that isn't in it comes from a task that was lost and counts
     for nothing, because each attempt writes a file of its own.
 
     A null text counts as empty and has only the end id; rows without an id take no part, repeated ids as in
@@ -242,7 +328,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     cuts = bounds(own, parts)
     dealt = own.withColumn("part", part_of(F.col("doc_id"), cuts)).repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "doc_id")
     ship(docs.sparkSession)
-    to = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())])
+    to = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("documents", pa.int64()), ("tokens", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, writer, shard = None, None, None
@@ -252,7 +338,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
         def ended():
             writer.close()
             out.close()
-            return record({"shard": [shard], "path": [name], "documents": [writer.documents], "tokens": [writer.tokens]}, to)
+            return record({"shard": [shard], "path": [name], "first_id": [writer.first_id], "last_id": [writer.last_id], "documents": [writer.documents], "tokens": [writer.tokens]}, to)
 
         for batch in batches:
             for rows, texts in K.blocks(batch, limit=TAKE):
@@ -271,12 +357,12 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
         if writer:
             yield ended()
 
-    manifest = written(dealt.mapInArrow(task, "shard int, path string, documents long, tokens long"))
+    manifest = written(dealt.mapInArrow(task, "shard int, path string, first_id long, last_id long, documents long, tokens long"))
     before, rows = 0, []
     for r in manifest.orderBy("shard").collect():  # a row a shard
-        rows.append((r.shard, r.path, r.documents, before, r.tokens))
+        rows.append((r.shard, r.path, r.first_id, r.last_id, r.documents, before, r.tokens))
         before += r.tokens
-    return docs.sparkSession.createDataFrame(rows, "shard int, path string, documents long, start long, tokens long")
+    return docs.sparkSession.createDataFrame(rows, "shard int, path string, first_id long, last_id long, documents long, start long, tokens long")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -285,6 +371,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     to = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(__name__)
         for batch in batches:
             for r in batch.to_pylist():
                 fs, name = _open(r["path"])
@@ -302,14 +389,16 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
 
 def look_up(manifest: list[dict], doc_id: int) -> np.ndarray | None:
-    """The ids of one document, by the shards' filters, indexes and one block."""
-    for r in manifest:
-        fs, name = _open(r["path"])
-        with fs.open_input_file(name) as f:
-            ids = Reader(f).get(doc_id)
-            if ids is not None:
-                return ids
-    return None
+    """The ids of one document: halving over the shards' ranges of ids finds one file; its filter, index and one block do the rest.
+
+    ``manifest`` has the rows of :func:`write_shards` in the order of ``shard``.
+    """
+    i = bisect_left(manifest, doc_id, key=lambda r: r["last_id"])
+    if i == len(manifest) or doc_id < manifest[i]["first_id"]:
+        return None
+    fs, name = _open(manifest[i]["path"])
+    with fs.open_input_file(name) as f:
+        return Reader(f).get(doc_id)
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> DataFrame:

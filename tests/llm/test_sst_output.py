@@ -13,7 +13,6 @@ PATH = P.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def library():
     t = tokenizers.Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -28,14 +27,15 @@ def test_whole_table(docs, rows, library):
 
 
 def test_mixed_characters(spark, library):
-    texts = ["it's  we'll\n\n x", "<|endoftext|>", "ünïcödé 中文 🎉  　 a", "١٢٣ ½", "'s's '", "\t\t\n "]
+    texts = ["it's  we'll\n\n x", "<|endoftext|>", "hello <|endoftext|> world<|endoftext|><|endoftext|>\n", "<|endoftext| >", "ünïcödé 中文 🎉  　 a", "١٢٣ ½", "'s's '", "\t\t\n "]
     got = {r.doc_id: r.ids for r in token_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()}
     assert got == {i: [*library(t), 2] for i, t in enumerate(texts)}
 
 
 def test_lookup(docs, rows, library, tmp_path):
     manifest = write_shards(docs, f"file://{tmp_path}/out", PATH)
-    listed = [r.asDict() for r in manifest.collect()]
+    listed = [r.asDict() for r in manifest.orderBy("shard").collect()]
+    assert len(listed) > 1 or len(rows) <= 500
     for i, t, *_ in rows[::7]:
         assert look_up(listed, i).tolist() == [*library(t or ""), 2]
     assert look_up(listed, 10**9) is None

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.llm.common import arrow_map, list_values, record
+from tandem.llm.common import arrow_map, list_values, record, written
 from tandem.shipping import ship
 
 BLOCK = 8192
@@ -126,6 +126,7 @@ def nearest(
     spark = vectors.sparkSession
     ship(spark)
     own, distinct = entries(vectors, k + 1, id_col, vector_col)
+    distinct = written(distinct)  # pivots, index and queries are made from it
     chosen = distinct.select("vector", "rep").orderBy(F.xxhash64("rep"), "rep").limit(pivots).collect()  # bounded: the pivots
     schema = "query_id long, rank int, vec_id long, score double"
     if not chosen:
@@ -140,15 +141,14 @@ def nearest(
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width), pa.array(order.ravel()))
             yield {"rep": rows.column("rep"), "vector": rows.column("vector"), "ids": rows.column("ids"), "near": lists}
 
-    index = arrow_map(distinct.select("rep", "vector", "ids"), near, "rep long, vector array<double>, ids array<long>, near array<short>")
-    query_index = arrow_map(distinct.select("rep", "vector", "ids"), near, "rep long, vector array<double>, ids array<long>, near array<short>")
+    index = written(arrow_map(distinct.select("rep", "vector", "ids"), near, "rep long, vector array<double>, ids array<long>, near array<short>"))
     asked = own.where(queries).select(F.col("vec_id").alias("query_id"), "vector")
-    asked = asked.join(distinct.select("rep", F.col("vector").alias("v")), F.col("vector") == F.col("v")).select("query_id", "rep")
-    n_index, n_asked = distinct.count(), asked.select("rep").distinct().count()
+    asked = written(asked.join(distinct.select("rep", F.col("vector").alias("v")), F.col("vector") == F.col("v")).select("query_id", "rep"))
+    n_index, n_asked = index.count(), asked.select("rep").distinct().count()
     blocks, asks = max(1, -(-n_index // BLOCK)), max(1, -(-n_asked // QUERIES))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = index.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")).withColumn("ask", every(asks))
-    right = query_index.join(asked.select("rep").distinct(), "rep").select("rep", "vector", "near").withColumn("ask", F.pmod(F.xxhash64("rep"), F.lit(asks)).cast("int")).withColumn("block", every(blocks))
+    right = index.select(*[F.col(c).alias(c) for c in index.columns]).join(asked.select("rep").distinct(), "rep").select("rep", "vector", "near").withColumn("ask", F.pmod(F.xxhash64("rep"), F.lit(asks)).cast("int")).withColumn("block", every(blocks))
     found = left.groupBy("ask", "block").cogroup(right.groupBy("ask", "block")).applyInArrow(_block_search(k, share, n_pivots, width), "query long, vec_id long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= k + 1)

@@ -1,7 +1,10 @@
 import random
-import re
 
-from tandem.llm.line_dedup import CHARS, deduped, line_dedup
+import numpy as np
+
+from tandem.llm import kernels as K
+from tandem.llm.line_dedup import CHARS, deduped, line_dedup, lines_of, seeds, signatures
+from tandem.llm.line_dedup import shingles as shingle_hashes
 
 
 def shingles(line):
@@ -88,9 +91,37 @@ def test_counts(spark):
     assert got == {0: ("x\ny", 3, 1), 1: ("a b c d\n", 3, 1), 2: ("", 1, 1)}
 
 
-def test_native(spark, docs):
-    plan = line_dedup(docs)._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow(?!Eval)", plan)
+def test_lines_and_shingles():
+    r = random.Random(2)
+    texts = ["", "\n", "a", " a \n\n\tb\r\n", "\n\nx\n", "日本語のテキスト、長い行です\n😀 y", "".join(r.choice("ab \n日😀") for _ in range(4000))]
+    row, at, start, end = lines_of(K.Texts.of([t.encode() for t in texts]))
+    data = "".join(texts).encode()
+    got = [(i, j, data[a:b].decode()) for i, j, a, b in zip(row.tolist(), at.tolist(), start.tolist(), end.tolist(), strict=True)]
+    want = [(i, j, line.strip(" \t\n\r\x0b\x0c")) for i, t in enumerate(texts) for j, line in enumerate(t.split("\n"))]
+    assert got == [x for x in want if x[2]]
+    h, first = shingle_hashes(np.frombuffer(data, dtype=np.uint8), start, end)
+    names, hashes = {}, {}
+    for k, (_, _, line) in enumerate(got):
+        pieces = [line[i : i + CHARS] for i in range(max(1, len(line) - CHARS + 1))]
+        own = h[first[k] : first[k + 1]].tolist()
+        assert len(pieces) == len(own)
+        for p, x in zip(pieces, own, strict=True):
+            assert names.setdefault(x, p) == p and hashes.setdefault(p, x) == x
+
+
+def test_signatures_estimate_similarity():
+    r = random.Random(6)
+    lines = ["abc", "abc", "日本", "".join(r.choice("abcdefg 日é") for _ in range(300))]
+    lines += [lines[3][:150] + "".join(r.choice("xyz") for _ in range(150)), "".join(r.choice("stuvw") for _ in range(9))]
+    raw = [x.encode() for x in lines]
+    cut = np.concatenate([[0], np.cumsum([len(x) + 1 for x in raw])])
+    order = np.array([3, 0, 5, 1, 4, 2])  # lines in any order
+    m = signatures(np.frombuffer(b"\n".join(raw), dtype=np.uint8), cut[:-1][order], (cut[1:] - 1)[order], seeds(400))
+    same = lambda a, b: (m[:, order.tolist().index(a)] == m[:, order.tolist().index(b)]).mean()
+    for a in range(6):
+        for b in range(a):
+            x, y = shingles(lines[a]), shingles(lines[b])
+            assert abs(same(a, b) - len(x & y) / len(x | y)) < 0.08
 
 
 def test_odd_rows(odd, none):

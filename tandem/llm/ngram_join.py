@@ -10,11 +10,14 @@ Texts with A-Z in lower case are sets of word shingles.  Two link when ``100 * |
   takes the ``l`` of least estimated cost: places on the lists of its prefix, plus candidates, at most places / ``l``.
 * **Matches.**  Beyond the prefixes a pair can share no more than the longer of the two rests, so a link takes
   ``c >= max(min(l), ceil(percent * (n + n') / (100 + percent)) - max(a - l, a' - l'))`` shared prefix shingles.
-* **Links.**  Equal sets are one node from the start: a list has a node once however many copies there are.  Each list
-  first pairs its nodes with ``REPS`` of them only; pairs with enough matches are verified and give components.  Then pairs of
-  one list whose nodes are still in *different* components are made, counted over their lists, held against the matches
-  that a link takes, verified, and joined to the components.  A pair within a component needs no check: a link inside it
-  changes nothing.  So no link is lost, while a group of n near copies costs n pairs and not n * n.
+* **Links.**  Equal sets are one node from the start: a task posts a set once however many copies it reads.  Each list
+  first pairs its nodes with ``REPS`` of them only; pairs with enough matches are verified and give components.  Lists that still
+  hold several components pair their nodes with two more: the node that is on most such lists (mostly the text that the others are
+  edits of), and that of another component; and again, while this joins components.  Then pairs of one list whose nodes are
+  still in *different* components are made, counted over their lists, held against the matches that a link takes,
+  verified, and joined to the components.  A pair within a component needs no check: a link inside it changes nothing.  So no
+  link is lost, while a group of n near copies costs n pairs and not n * n.
+* **Verification.**  A representative's text goes to a task once, followed by those it is held against (:mod:`tandem.llm.verify`).
 """
 
 from __future__ import annotations
@@ -27,20 +30,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.llm import kernels as K
-from tandem.llm.common import WORD, arrow_map, one_per_id, record, written
+from tandem.llm.common import WORD, alone, one_per_id, record, written
 from tandem.llm.components import connected_components
+from tandem.llm.verify import verified
 
 #: Most entries of the table of frequent shingles.
 HEAVY = 1 << 18
 #: Least count of a shingle among one task's documents for the estimate.
 LOCAL = 2
 #: Texts (bytes) over which a task adds up its counts before it gives them out.
-FLUSH = 48 << 20
+FLUSH = 16 << 20
+#: Texts (bytes) that a task looks at together.
+TAKE = 1 << 20
 MATCHES = (1, 2, 4, 8)
 #: What checking a candidate costs, in places read from a list.
 VERIFY = 16
 #: Nodes of a list that all its others are held against first.
 REPS = 8
+#: Rounds of further representatives at most; what they leave is counted pair by pair.
+ROUNDS = 3
+#: Sets that a task remembers having posted.
+SEEN = 1 << 18
 
 
 def _keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -57,6 +67,7 @@ def _sets(k: int):
     """Rows (0, doc_id, key, n) of each document and (1, shingle, count, 0) of shingles that a task's documents share."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(__name__)
         held: list[np.ndarray] = []
         size = 0
         to = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
@@ -67,7 +78,7 @@ def _sets(k: int):
             return record({"kind": np.ones(len(h), np.int8), "a": K.signed(h), "b": c, "n": np.zeros(len(h), np.int64)}, to)
 
         for batch in batches:
-            for rows, texts in K.blocks(batch):
+            for rows, texts in K.blocks(batch, limit=TAKE):
                 h, first = K.shingles(K.lower(texts), k)
                 yield record({"kind": np.zeros(len(texts), np.int8), "a": rows.column("doc_id"), "b": K.signed(_keys(h, first)), "n": np.diff(first)}, to)
                 held.append(h)
@@ -99,33 +110,45 @@ def _heavy(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _postings(k: int, percent: int, table):
-    """(shingle, key, n, l) of each document's prefix."""
+    """(shingle, key, n and l) of the prefix of each distinct set among a task's documents."""
+    to = pa.schema([(c, pa.int64()) for c in ("h", "key", "meta")])
 
-    def postings(batch: pa.RecordBatch) -> Iterator[dict]:
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(__name__)
         heavy, count = table.value
-        for _, texts in K.blocks(batch):
-            h, first = K.shingles(K.lower(texts), k)
-            key, n = _keys(h, first), np.diff(first)
-            row = K.row_of(first)
-            df = np.ones(len(h), dtype=np.int64)
-            if len(heavy):
-                at = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
-                known = heavy[at] == h
-                df[known] = count[at[known]]
-                if known.any():
-                    order = np.lexsort((df, row))  # stable: by hash where frequencies are equal
-                    h, df = h[order], df[order]
-            places = np.concatenate([[0], np.cumsum(df - 1)])
-            share = -(-percent * n // 100)
-            best, l = np.full(len(n), np.inf), np.ones(len(n), np.int64)
-            for m in MATCHES:
-                fits = (share >= m) & (n > 0)
-                seen = places[first[:-1] + np.where(fits, n - share + m, 0)] - places[first[:-1]]
-                cost = np.where(fits, seen + (VERIFY / m) * seen + m, np.inf)
-                l[cost < best] = m
-                best = np.minimum(best, cost)
-            take = np.arange(len(h)) - first[:-1][row] < (n - share + l)[row]
-            yield {"h": K.signed(h[take]), "key": K.signed(key[row[take]]), "meta": (n * 16 + l)[row[take]]}
+        seen: set[int] = set()
+        for batch in batches:
+            for _, texts in K.blocks(batch, limit=TAKE):
+                h, first = K.shingles(K.lower(texts), k)
+                key, n = _keys(h, first), np.diff(first)
+                if len(seen) > SEEN:
+                    seen.clear()
+                fresh = [i for i, x in enumerate(key.tolist()) if x and x not in seen and not seen.add(x)]
+                if not fresh:
+                    continue
+                fresh = np.array(fresh)
+                at, cut = K.ragged(first, fresh)
+                h, first, key, n = h[at], cut, key[fresh], n[fresh]
+                row = K.row_of(first)
+                df = np.ones(len(h), dtype=np.int64)
+                if len(heavy):
+                    at = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
+                    known = heavy[at] == h
+                    df[known] = count[at[known]]
+                    if known.any():
+                        order = np.lexsort((df, row))  # stable: by hash where frequencies are equal
+                        h, df = h[order], df[order]
+                places = np.concatenate([[0], np.cumsum(df - 1)])
+                share = -(-percent * n // 100)
+                best, l = np.full(len(n), np.inf), np.ones(len(n), np.int64)
+                for m in MATCHES:
+                    fits = share >= m
+                    met = places[first[:-1] + np.where(fits, n - share + m, 0)] - places[first[:-1]]
+                    cost = np.where(fits, met + (VERIFY / m) * met + m, np.inf)
+                    l[cost < best] = m
+                    best = np.minimum(best, cost)
+                take = np.arange(len(h)) - first[:-1][row] < (n - share + l)[row]
+                yield record({"h": K.signed(h[take]), "key": K.signed(key[row[take]]), "meta": (n * 16 + l)[row[take]]}, to)
 
     return postings
 
@@ -239,27 +262,6 @@ def _bounds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, at + size
 
 
-def _verify(k: int, percent: int):
-    def verify(batch: pa.RecordBatch) -> Iterator[dict]:
-        at = 0
-        while at < len(batch):
-            rows = batch.slice(at, 512)
-            at += 512
-            ha, fa = K.shingles(K.lower(K.column_texts(rows.column("text_a"))), k)
-            hb, fb = K.shingles(K.lower(K.column_texts(rows.column("text_b"))), k)
-            ok = np.zeros(len(rows), dtype=bool)
-            for i in range(len(rows)):
-                x, y = ha[fa[i] : fa[i + 1]], hb[fb[i] : fb[i + 1]]
-                both = np.concatenate([x, y])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                ok[i] = 100 * same >= percent * (len(both) - same)
-            m = pa.array(ok)
-            yield {"key": rows.column("key").filter(m), "rep": rows.column("rep").filter(m)}
-
-    return verify
-
-
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): size of each set and the least id that links reach.
 
@@ -280,7 +282,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     table = spark.sparkContext.broadcast(_heavy(first.where("kind = 1")))
     nodes = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
 
-    posted = arrow_map(own, _postings(k, percent, table), "h long, key long, meta long")
+    posted = own.select("text").mapInArrow(_postings(k, percent, table), "h long, key long, meta long")
     sorted_ = posted.repartition("h").sortWithinPartitions("h", "key")
     lists = written(sorted_.mapInArrow(_stars, "h long, key long, meta long, rep long, rep_meta long"))
 
@@ -294,35 +296,53 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         """Pairs (key, rep), with the lists they share, that share as many as a link takes."""
         return pairs.groupBy("key", "rep", "meta", "rep_meta").agg(F.sum("c").alias("c")).where(F.col("c") >= enough).select("key", "rep")
 
-    ordered = lists.where("key <> rep").where(fits)
     swap = F.col("key") > F.col("rep")
     ends = lambda a, b: [F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a), F.when(swap, F.col(a)).otherwise(F.col(b)).alias(b)]
-    ordered = ordered.select("h", *ends("key", "rep"), *ends("meta", "rep_meta"), F.lit(1).cast("long").alias("c"))
-    pairs = matched(ordered)
+
+    def met(pairs: DataFrame) -> DataFrame:
+        """Pairs of a list's node and a representative of it that share as many lists as a link takes."""
+        some = pairs.where("key <> rep").where(fits)
+        return matched(some.select("h", *ends("key", "rep"), *ends("meta", "rep_meta"), F.lit(1).cast("long").alias("c")))
+
     def links(pairs: DataFrame) -> DataFrame:
-        """The pairs that link; only texts of documents in them are dealt out."""
-        pairs = written(pairs)
+        """The pairs (key, rep) that link; only texts of documents in them are dealt out."""
         ends = pairs.select("key").unionByName(pairs.select(F.col("rep").alias("key"))).distinct()
         texts = written(own.join(nodes.join(ends, "key"), "doc_id").select("key", "text"))
-        a = texts.withColumnRenamed("text", "text_a")
-        b = texts.select(F.col("key").alias("rep"), F.col("text").alias("text_b"))
-        both = pairs.join(a, "key").join(b, "rep").select("key", "rep", "text_a", "text_b")
-        return written(arrow_map(both, _verify(k, percent), "key long, rep long"))
-
-    near = links(pairs)
-    edge = lambda e: e.select(F.col("key").alias("u"), F.col("rep").alias("v"))
-    label = connected_components(edge(near)).withColumnRenamed("node", "key")
-    placed = written(lists.where("key = rep").join(label, "key", "left").select("h", n("meta").alias("n"), "key", "meta", F.coalesce("component", "key").alias("comp")))
-    mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h", "lo")
-    open_lists = written(placed.join(mixed, "h").select("lo", "h", "key", "meta", "comp"))
+        return verified(pairs.select(F.col("key").alias("u"), F.col("rep").alias("v")), texts, lambda t: K.shingles(K.lower(t), k), percent)
+
+    def labels(near: DataFrame) -> DataFrame:
+        return written(connected_components(near).withColumnRenamed("node", "key"))
+
+    def mixed(placed: DataFrame, label: DataFrame) -> DataFrame:
+        """(lo, h, key, meta, comp) of the lists that hold several components."""
+        placed = written(placed.join(label, "key", "left").select("h", "key", "meta", F.coalesce("component", "key").alias("comp")))
+        several = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h", "lo")
+        return written(placed.join(several, "h").select("lo", "h", "key", "meta", "comp"))
+
+    tried = written(met(lists))
+    near = links(tried)
+    label = labels(near)
+    open_lists = mixed(lists.where("key = rep").select("h", "key", "meta"), label)
+    for _ in range(ROUNDS):
+        scored = open_lists.join(open_lists.groupBy("key").agg(F.count(F.lit(1)).alias("score")), "key")
+        best = scored.groupBy("h").agg(F.max(F.struct("score", "key", "meta", "comp")).alias("r"))
+        other = scored.join(best, "h").where(F.col("comp") != F.col("r.comp")).groupBy("h").agg(F.max(F.struct("score", "key", "meta", "comp")).alias("q"))
+        held = open_lists.join(best.join(other, "h"), "h").withColumn("r", F.explode(F.array("r", "q"))).where(F.col("comp") != F.col("r.comp"))
+        pairs = met(held.select("h", "key", "meta", F.col("r.key").alias("rep"), F.col("r.meta").alias("rep_meta")).distinct())
+        pairs = written(pairs.join(tried, ["key", "rep"], "left_anti"))
+        more = links(pairs)
+        if not more.limit(1).count():
+            break
+        near, tried = near.unionByName(more), tried.unionByName(pairs)
+        label = labels(near)
+        open_lists = mixed(open_lists.select("h", "key", "meta"), label)
     here = open_lists.groupBy("lo", "key").agg(F.count(F.lit(1)).alias("here"))
     total = here.groupBy("key").agg(F.sum("here").alias("total"))
     rest = here.join(total, "key").select("lo", "key", (F.col("total") - F.col("here")).alias("rest"))
     dealt = open_lists.join(rest, ["lo", "key"]).repartition("lo").select("lo", "h", "key", "meta", "comp", "rest").sortWithinPartitions("lo")
-    far = written(matched(dealt.mapInArrow(_across(percent), "key long, rep long, meta long, rep_meta long, c long")))
+    far = written(matched(dealt.mapInArrow(_across(percent), "key long, rep long, meta long, rep_meta long, c long")).join(tried, ["key", "rep"], "left_anti"))
     if far.limit(1).count():
-        near = near.unionByName(links(far))
-        label = connected_components(edge(near)).withColumnRenamed("node", "key")
+        label = labels(near.unionByName(links(far)))
     members = sets.where("n > 0").join(label, "key", "left").select("doc_id", "n", F.coalesce("component", "key").alias("comp"))
     least = members.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return (

@@ -45,10 +45,17 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-_WORDS = r"regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')"
-
-
-@query()
+@query(r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents where doc_id is not null),
+s as (select doc_id, case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')]
+    else list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) end as sh from w),
+x as (select doc_id, unnest(sh) as g from s),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from x a join x b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join s sa on sa.doc_id = a join s sb on sb.doc_id = b where 100 * c >= 80 * (len(sa.sh) + len(sb.sh) - c)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id, doc_id as reach from s union select r.doc_id, e.b from r join e on r.reach = e.a)
+select s.doc_id, any_value(len(sh))::bigint as n_shingles, min(reach) as component_id from s join r using (doc_id) group by s.doc_id
+""")
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tandem.llm.ngram_join import ngram_components
 

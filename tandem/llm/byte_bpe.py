@@ -12,7 +12,6 @@ import base64
 import heapq
 from array import array
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm import kernels as K
-from tandem.llm.common import arrow_map, int_lists, list_values
+from tandem.llm.common import arrow_map, held, int_lists, list_values
 from tandem.llm.pretokens import distinct_pieces, piece_starts
 
 #: Pre-tokens whose ids a worker keeps, and texts (bytes) that it takes at once.
-CACHE, TAKE = 200_000, 2 << 20
+CACHE, TAKE = 100_000, 1 << 20
 
 
 class PerfectHash:
@@ -80,17 +79,33 @@ class PerfectHash:
         return np.where(self.slot_key[slot] == keys, self.slot_item[slot], -1)
 
 
-class Vocabulary:
+class Tokens:
+    """The tokens of a rank file by their ids: all that decoding takes."""
+
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         tokens = [t for t, _ in sorted(self.ranks.items(), key=lambda x: x[1])]
         self.ids = np.array(sorted(self.ranks.values()), dtype=np.int64)
         self.texts = K.Texts.of(tokens)
-        starts, ends = self.texts.offsets[:-1], self.texts.offsets[1:]
-        self.perfect = PerfectHash(K.hash_spans(self.texts.data, starts, ends))
         self.row = np.full(int(self.ids.max()) + 1 if len(self.ids) else 1, -1, dtype=np.int64)
         self.row[self.ids] = np.arange(len(self.ids))
+
+    def decode(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the ids and each text's first byte."""
+        bad = (ids < 0) | (ids >= len(self.row))
+        if bad.any() or (self.row[ids] < 0).any():
+            raise ValueError("an id is not in the vocabulary")
+        at, cut = K.ragged(self.texts.offsets, self.row[ids])
+        return self.texts.data[at], cut[first]
+
+
+class Vocabulary(Tokens):
+    """What encoding takes as well: the perfect hash, the pairs that merge, the pre-tokens it has merged."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.perfect = PerfectHash(K.hash_spans(self.texts.data, self.texts.offsets[:-1], self.texts.offsets[1:]))
         self.byte = [self.ranks[bytes([i])] for i in range(256)]
         #: left id << 32 | right id to the id of both together, which is the pair's rank
         self.pairs = {
@@ -175,18 +190,13 @@ class Vocabulary:
         at, cut = K.ragged(of, code)
         return flat[at], cut[first]
 
-    def decode(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of the ids and each text's first byte."""
-        bad = (ids < 0) | (ids >= len(self.row))
-        if bad.any() or (self.row[ids] < 0).any():
-            raise ValueError("an id is not in the vocabulary")
-        at, cut = K.ragged(self.texts.offsets, self.row[ids])
-        return self.texts.data[at], cut[first]
-
 
-@cache
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    return held(__name__, ("encode", path), lambda: Vocabulary(path))
+
+
+def tokens(path: str) -> Tokens:
+    return held(__name__, ("decode", path), lambda: Tokens(path))
 
 
 def _encode(path: str):
@@ -203,7 +213,7 @@ def _decode(path: str):
         for at in range(0, len(batch), 1024):
             rows = batch.slice(at, 1024)
             ids, first = list_values(rows.column("ids"))
-            data, cut = vocabulary(path).decode(ids, first)
+            data, cut = tokens(path).decode(ids, first)
             out = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(data)])
             yield {"doc_id": rows.column("doc_id"), "ids": rows.column("ids"), "decoded": out}
 

@@ -26,12 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm import kernels as K
-from tandem.llm.common import arrow_map, list_values
+from tandem.llm.common import alone, arrow_map, let_go, list_values
 
 BUCKETS = 1 << 15
 SIZES = (2, 3, 4)
 MARK = 0x20
 UNKNOWN = "und"
+#: Texts (bytes) that a task looks at together: a subword takes some tens of bytes while it is counted.
+TAKE = 1 << 20
 
 _WORD = np.full(256, MARK, dtype=np.uint8)
 _WORD[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -97,7 +99,7 @@ class Model:
 
 
 def _counts(batch: pa.RecordBatch) -> Iterator[dict]:
-    for rows, texts in K.blocks(batch):
+    for rows, texts in K.blocks(batch, limit=TAKE):
         row_of, buckets = [], []
         _, first = _marked(texts)
         for bucket, at in _subwords(texts):
@@ -173,13 +175,16 @@ def train(docs: DataFrame, max_rows: int = 3000, dim: int = 16, epochs: int = 6,
     loss = lambda t: -np.log(softmax(z / t)[np.arange(len(of)), of] + 1e-12).mean()
     temperature = float(min(np.geomspace(0.05, 20, 121), key=loss))
     least = min(0.5, float(np.quantile(softmax(z / temperature).max(1), reject)) * (1 - 1e-9)) if len(languages) > 1 else 0.0
-    return Model(languages, np.ascontiguousarray(table, np.float32), b.astype(np.float64), temperature, least)
+    model = Model(languages, np.ascontiguousarray(table, np.float32), b.astype(np.float64), temperature, least)
+    del got, flat, first, count, names, E, z
+    let_go()  # the driver lives on
+    return model
 
 
 def _predict(model):
     def predict(batch: pa.RecordBatch) -> Iterator[dict]:
         m: Model | None = model.value
-        for rows, texts in K.blocks(batch):
+        for rows, texts in K.blocks(batch, limit=TAKE):
             ids = rows.column("doc_id")
             if m is None:
                 yield {"doc_id": ids, "lang_pred": [UNKNOWN] * len(texts), "score": np.zeros(len(texts)), "accepted": np.zeros(len(texts), bool)}
@@ -234,13 +239,14 @@ def accepted_only(docs: DataFrame, model: Model | None) -> DataFrame:
     at = docs.sparkSession.sparkContext.broadcast(model)
     predict, names = _predict(at), docs.columns
 
-    def keep(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ok = np.concatenate([x["accepted"] for x in predict(batch)] or [np.zeros(0, bool)])
-        yield batch.filter(pa.array(ok))
-
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(__name__)
         for batch in batches:
-            yield from keep(batch)
+            at = 0
+            for x in predict(batch):  # block by block, so that no second copy of a whole batch is made
+                ok = x["accepted"]
+                yield batch.slice(at, len(ok)).filter(pa.array(ok))
+                at += len(ok)
 
     from tandem.shipping import ship
 

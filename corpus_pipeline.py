@@ -8,6 +8,12 @@ columns of ``documents``:
 3. the n-gram Jaccard join leaves one document of each group of near duplicates;
 4. mixing repeats or leaves out documents so that sources come near their target weights;
 5. byte-level BPE encodes the texts and decodes the ids again.
+
+Odd input: a null text and one without letters go at stage 1, unless there is nothing to learn from, then all rows stay.  An empty text that
+later stages make (all lines of a document repeated earlier ones) stays a row with an empty text.  Rows without an id are
+judged like others at stage 1, keep all their lines at stage 2, and at stage 3 are held by their texts; of fully repeated rows one
+passes stage 3.  Ties go to the smaller id everywhere.  An empty table gives an empty table.  Other columns, whatever their names,
+go through to stage 4.
 """
 
 from __future__ import annotations

@@ -112,9 +112,12 @@ def _counts(batch: pa.RecordBatch) -> Iterator[dict]:
 
 
 def sample(docs: DataFrame, max_rows: int) -> DataFrame:
-    """At most about ``max_rows`` labelled texts, equally many of each language, by a hash of the id."""
+    """At most about ``max_rows`` labelled texts, equally many of each language, by a hash of the id.
+
+    Of more languages than ``max_rows`` the most frequent ones are learnt (ties by name), one text each or so.
+    """
     labelled = docs.where("lang is not null and text is not null").select(F.xxhash64("doc_id").alias("rank"), "lang", "text")
-    have = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    have = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows).collect()}
     if not have:
         return labelled.limit(0)
     each = max(1, max_rows // len(have))

@@ -24,7 +24,11 @@ def log_pmf(x: np.ndarray, mean, unit_var, min_sd: float = Config.min_sd) -> np.
     """Log mass of whole counts under a normal of variance ``mean * unit_var``: what lies between x - 1/2 and x + 1/2."""
     sd = np.maximum(np.sqrt(np.asarray(mean, float) * unit_var), min_sd)
     z = np.round(x) - mean
-    low, high = log_ndtr((z - 0.5) / sd), log_ndtr((z + 0.5) / sd)
+    return _between(log_ndtr((z - 0.5) / sd), log_ndtr((z + 0.5) / sd))
+
+
+def _between(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Log mass between two points from the logarithms of what lies below them."""
     with np.errstate(divide="ignore", invalid="ignore"):
         out = high + np.log1p(-np.exp(np.minimum(low - high, TAIL)))
     return np.where(np.isneginf(out), IMPOSSIBLE, out)
@@ -106,6 +110,8 @@ class Observations:
         self.spans = self.kind == 0
         self._full, self._cut = seen_units(self.counts, self.kind != 2) if len(self.counts) else (self.counts > 0, self.counts > 0)
         self._full[self.spans], self._cut[self.spans] = True, False
+        self._known: dict[tuple[int, float, float], np.ndarray] = {}
+        self._some_cut = self._cut.any(0)
         self._distinct = [np.unique(self.counts[:, d], return_inverse=True) for d in range(self.counts.shape[1])]
     def __len__(self) -> int:
         return int(self.weight.sum())
@@ -118,18 +124,40 @@ class Observations:
         return Observations(self.counts[mask], self.kind[mask], self.weight[mask], self.config)
 
     def unit_mass(self, d: int, mean, unit_var) -> np.ndarray:
-        """Log mass of every observation's count of one unit: a row for each of the given means and variances."""
+        """Log mass of every observation's count of one unit: a row for each of the given means and variances.
+
+        As :func:`log_pmf` and :func:`cut_log_pmf`, with all tails asked for at once.
+        """
         mean, unit_var = np.broadcast_arrays(np.atleast_1d(np.asarray(mean, float)), np.atleast_1d(np.asarray(unit_var, float)))
         mean, unit_var = mean[:, None], unit_var[:, None]
-        s, full, cut = self.config.min_sd, self._full[:, d], self._cut[:, d]
-        x, at = self._distinct[d]
-        out = np.where(full, log_pmf(x, mean, unit_var, s)[:, at], 0.0)
-        if cut.any():
-            out[:, cut] = cut_log_pmf(x, mean, unit_var, s)[:, at[cut]]
+        full, cut, (x, at) = self._full[:, d], self._cut[:, d], self._distinct[d]
+        n, some = len(x), self._some_cut[d]
+        spread = np.sqrt(mean * unit_var)
+        edges = [x - 0.5 - mean, x + 0.5 - mean]
+        if some:
+            split = np.round(mean)
+            edges += [split - 0.5 - mean, split + 0.5 - mean, np.ceil(mean + 5 * spread) + 0.5 - mean]
+        tails = log_ndtr(np.concatenate(edges, axis=1) / np.maximum(spread, self.config.min_sd))
+        whole = _between(tails[:, :n], tails[:, n : 2 * n])
+        out = np.where(full, whole[:, at], 0.0)
+        if some:
+            at_split = np.exp(_between(tails[:, 2 * n : 2 * n + 1], tails[:, 2 * n + 1 : 2 * n + 2]))
+            total = np.exp(tails[:, 2 * n + 2 :]) - np.exp(tails[:, 2 * n : 2 * n + 1]) + at_split * np.maximum(split - 1, 0.0)
+            with np.errstate(divide="ignore"):
+                out[:, cut] = np.where(x >= split, whole - np.log(total), np.log(at_split / total))[:, at[cut]]
         return out
 
+    def one_mass(self, d: int, mean: float, unit_var: float) -> np.ndarray:
+        """:meth:`unit_mass` of one mean and variance, kept: neighbours in a search share most of theirs."""
+        key = (d, float(mean), float(unit_var))
+        if key not in self._known:
+            if len(self._known) > 4096:
+                self._known.clear()
+            self._known[key] = self.unit_mass(d, mean, unit_var)[0]
+        return self._known[key]
+
     def log_mass(self, mean: np.ndarray, unit_var: np.ndarray) -> np.ndarray:
-        return sum(self.unit_mass(d, mean[d], unit_var[d])[0] for d in range(self.units))
+        return sum(self.one_mass(d, mean[d], unit_var[d]) for d in range(self.units))
 
     def hom_ll(self, mean: np.ndarray, unit_var: np.ndarray) -> float:
         return float(self.weight @ self.log_mass(mean, unit_var))
@@ -272,7 +300,7 @@ def fit_hom(o: Observations) -> Fit:
             return ll, v
 
         def rough(m, v, d=d):
-            return float((o.unit_mass(d, m[0], v) @ o.weight)[0])
+            return float(o.one_mass(d, m[0], v) @ o.weight)
 
         seen = np.unique(places[:, d])
         level = np.array([(search.mass(d, m) @ o.weight).max() for m in seen])
@@ -286,15 +314,15 @@ def fit_hom(o: Observations) -> Fit:
 def _fit_vars(o: Observations, search: Search, m1: np.ndarray, m2: np.ndarray, start: np.ndarray) -> tuple[float, np.ndarray]:
     """The largest log-likelihood at two means and its variances, unit by unit until little is gained."""
     var = start.copy()
-    a = [o.unit_mass(d, m1[d], var[d])[0] for d in range(o.units)]
-    b = [o.unit_mass(d, m2[d], var[d])[0] for d in range(o.units)]
+    a = [o.one_mass(d, m1[d], var[d]) for d in range(o.units)]
+    b = [o.one_mass(d, m2[d], var[d]) for d in range(o.units)]
     best = -np.inf
     for _ in range(8):
         before = best
         for d in range(o.units):
             p, q = sum(a) - a[d] + HALF, sum(b) - b[d] + HALF
             var[d], best = search.var(d, [m1[d], m2[d]], lambda x, y, p=p, q=q: np.logaddexp(p + x, q + y) @ o.weight)
-            a[d], b[d] = o.unit_mass(d, m1[d], var[d])[0], o.unit_mass(d, m2[d], var[d])[0]
+            a[d], b[d] = o.one_mass(d, m1[d], var[d]), o.one_mass(d, m2[d], var[d])
         if o.units == 1 or best - before < 1e-6:
             break
     return best, var

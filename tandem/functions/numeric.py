@@ -62,8 +62,34 @@ CHI2_95_1 = 3.841458820694124
 
 
 def root(f: Callable[[float], float], a: float, b: float, rounds: int = 200) -> float:
-    """Where ``f`` changes its sign between a and b, by halving."""
-    fa = f(a)
+    """Where ``f`` changes its sign between a and b: the chord's zero, an end that stays twice counting half, halving where that is slow."""
+    fa, fb = f(a), f(b)
+    if fa == 0 or fb == 0 or (fa > 0) == (fb > 0) or not (math.isfinite(fa) and math.isfinite(fb)):
+        return _halved(f, a, b, fa, rounds)
+    kept = 0
+    for turn in range(rounds):
+        x = b - fb * (b - a) / (fb - fa)
+        if turn % 8 == 7 or not min(a, b) < x < max(a, b):
+            x = (a + b) / 2
+        if abs(b - a) < 1e-8 or x in (a, b):
+            break
+        fx = f(x)
+        if fx == 0:
+            return x
+        if (fx > 0) == (fb > 0):
+            b, fb = x, fx
+            fa = fa / 2 if kept == 1 else fa
+            kept = 1
+        else:
+            a, fa = x, fx
+            fb = fb / 2 if kept == -1 else fb
+            kept = -1
+        if abs(fx) < 1e-10:
+            return x
+    return (a + b) / 2
+
+
+def _halved(f: Callable[[float], float], a: float, b: float, fa: float, rounds: int) -> float:
     for _ in range(rounds):
         mid = (a + b) / 2
         if mid in (a, b) or abs(b - a) < 1e-8:

@@ -3,7 +3,8 @@
 Tier 1: a minimal perfect hash over the vocabulary resolves every pre-token that is a token itself, for all distinct pre-tokens
 of a block in a few array operations; the slot's own bytes are compared, so a stranger is never taken for a member.
 Tier 2: a miss is merged byte by byte, with a heap of ranked pairs over a doubly linked list of its parts, in
-O(n log n) for n bytes.  What the misses gave is kept for later blocks of the same worker, ``CACHE`` pre-tokens at most.
+O(n log n) for n bytes; the first pairs of all misses of a block are looked up at once.  What the misses gave is kept for later
+blocks of the same worker: ``CACHE`` pre-tokens and, when these are full, as many that were used before them.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from tandem.llm import kernels as K
 from tandem.llm.common import arrow_map, held, int_lists, list_values
 from tandem.llm.pretokens import distinct_pieces, piece_starts
 
-#: Pre-tokens whose ids a worker keeps, and texts (bytes) that it takes at once.
-CACHE, TAKE = 100_000, 1 << 20
+#: Pre-tokens whose ids a worker keeps in each of two dictionaries, and texts (bytes) that it takes at once.
+CACHE, TAKE = 200_000, 1 << 20
 
 
 class PerfectHash:
@@ -106,7 +107,9 @@ class Vocabulary(Tokens):
     def __init__(self, path: str):
         super().__init__(path)
         self.perfect = PerfectHash(K.hash_spans(self.texts.data, self.texts.offsets[:-1], self.texts.offsets[1:]))
-        self.byte = [self.ranks[bytes([i])] for i in range(256)]
+        self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
+        #: the rank of each two bytes, -1 if they don't merge
+        self.two = np.array([[self.ranks.get(bytes([i, j]), -1) for j in range(256)] for i in range(256)], dtype=np.int64)
         #: left id << 32 | right id to the id of both together, which is the pair's rank
         self.pairs = {
             left << 32 | right: rank
@@ -115,37 +118,58 @@ class Vocabulary(Tokens):
             if (left := self.ranks.get(token[:i])) is not None and (right := self.ranks.get(token[i:])) is not None
         }
         self.cache: dict[bytes, bytes] = {}  # ids as 32-bit integers
+        self.older: dict[bytes, bytes] = {}  # what the cache held when it was last full
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of a piece: always the pair of least rank merges, the leftmost of equal ones.
+    def merge(self, part: list[int], rank: list[int], heap: list[int]) -> list[int]:
+        """Ids of a piece from those of its bytes: always the pair of least rank merges, the leftmost of equal ones.
 
-        A heap entry is ``rank << 32 | place``; one whose place has another pair by now is stale and passed over.
+        ``rank`` has the rank of the pair that begins at each place, -1 for none.  A heap entry is ``rank << 32 | place``; one whose
+        place has another pair by now is stale and passed over.  All three lists are used up.
         """
-        pairs, byte = self.pairs, self.byte
-        n = len(piece)
-        part = [byte[c] for c in piece]
-        heap = [r << 32 | i for i in range(n - 1) if (r := pairs.get(part[i] << 32 | part[i + 1], -1)) >= 0]
-        if not heap:
-            return part
-        heapq.heapify(heap)
+        get, push, pop = self.pairs.get, heapq.heappush, heapq.heappop
+        n = len(part)
+        rank.append(-1)  # of the last place
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heapq.heapify(heap)
         while heap:
-            top = heapq.heappop(heap)
+            top = pop(heap)
             r, i = top >> 32, top & 0xFFFFFFFF
-            j = after[i]
-            if j >= n or part[i] < 0 or pairs.get(part[i] << 32 | part[j], -1) != r:
+            if rank[i] != r:
                 continue
-            part[i], part[j] = r, -1
+            j = after[i]
             k = after[i] = after[j]
+            part[i], part[j], rank[j] = r, -1, -1
+            q = -1
             if k < n:
                 before[k] = i
-                if (q := pairs.get(r << 32 | part[k], -1)) >= 0:
-                    heapq.heappush(heap, q << 32 | i)
+                if (q := get(r << 32 | part[k], -1)) >= 0:
+                    push(heap, q << 32 | i)
+            rank[i] = q
             h = before[i]
-            if h >= 0 and (q := pairs.get(part[h] << 32 | r, -1)) >= 0:
-                heapq.heappush(heap, q << 32 | h)
+            if h >= 0:
+                q = rank[h] = get(part[h] << 32 | r, -1)
+                if q >= 0:
+                    push(heap, q << 32 | h)
         return [x for x in part if x >= 0]
 
+    def merged(self, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[bytes]:
+        """:meth:`merge` of the pieces of ``data`` from a to b; their bytes' pairs are looked up for all of them at once."""
+        cut = np.concatenate([[0], np.cumsum(b - a)])
+        at = np.arange(cut[-1]) + np.repeat(a - cut[:-1], b - a)
+        part = self.byte[data[at]]
+        rank = np.full(len(at), -1, dtype=np.int64)
+        rank[:-1] = self.two[data[at[:-1]], data[at[1:]]]
+        rank[cut[1:] - 1] = -1  # the last byte of a piece begins no pair
+        some = np.flatnonzero(rank >= 0)
+        heap = (rank[some] << 32 | (some - np.repeat(cut[:-1], b - a)[some])).tolist()
+        first = np.searchsorted(some, cut).tolist()
+        part, rank, cut = part.tolist(), rank.tolist(), cut.tolist()
+        out = []
+        for i in range(len(a)):
+            x, y, u, v = cut[i], cut[i + 1], first[i], first[i + 1]
+            out.append(array("I", self.merge(part[x:y], rank[x : y - 1], heap[u:v]) if u < v else part[x:y]).tobytes())
+        return out
+
     def of_pieces(self, texts: K.Texts, starts: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the distinct pieces, one after another, and each one's first."""
         ends = np.append(starts[1:], len(texts.data))
@@ -161,18 +185,21 @@ class Vocabulary(Tokens):
         row[known[~same]] = -1
         count = np.ones(len(rep), dtype=np.int64)
         missed = np.flatnonzero(row < 0)
-        got = []
-        for i in missed.tolist():
-            piece = raw[a[i] : b[i]].tobytes()
-            ids = self.cache.get(piece)
-            if ids is None:
-                ids = array("I", self.merge(piece)).tobytes()
+        text = raw.tobytes()
+        pieces = [text[x:y] for x, y in zip(a[missed].tolist(), b[missed].tolist(), strict=True)]
+        got = [self.cache.get(piece) for piece in pieces]
+        left = [i for i, ids in enumerate(got) if ids is None]
+        for i in left:
+            got[i] = self.older.get(pieces[i])
+        new = np.array([i for i in left if got[i] is None], dtype=np.int64)
+        for i, ids in zip(new.tolist(), self.merged(raw, a[missed[new]], b[missed[new]]) if len(new) else (), strict=True):
+            got[i] = ids
+        for i in left:
+            if len(pieces[i]) <= 64:
                 if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                if len(piece) <= 64:
-                    self.cache[piece] = ids
-            got.append(ids)
-            count[i] = len(ids) // 4
+                    self.cache, self.older = {}, self.cache
+                self.cache[pieces[i]] = got[i]
+        count[missed] = [len(ids) // 4 for ids in got]
         first = np.concatenate([[0], np.cumsum(count)])
         flat = np.empty(first[-1], dtype=np.int64)
         hit = np.flatnonzero(row >= 0)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tandem.llm import kernels as K
-from tandem.llm.byte_bpe import PerfectHash, decode, encode, vocabulary
+from tandem.llm.byte_bpe import PerfectHash, Vocabulary, decode, encode, vocabulary
 
 P = pytest.importorskip("public_tokenizers")
 tiktoken = pytest.importorskip("tiktoken")
@@ -26,6 +26,19 @@ def test_equals_the_library(library):
     assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [library.encode_ordinary(t) for t in texts]
 
 
+def test_misses_in_use_are_merged_once(library, monkeypatch):
+    """A full cache gives up what hasn't been used since it was last full, not what every block holds."""
+    monkeypatch.setattr("tandem.llm.byte_bpe.CACHE", 3)
+    own, calls = Vocabulary(PATH), []
+    merge = own.merge
+    monkeypatch.setattr(own, "merge", lambda *a: calls.append(1) or merge(*a))
+    texts = [f"thexqzv kwzj{c}qxv" for c in "abcdefgh"]
+    for text in texts:
+        ids, _ = own.encode(K.Texts.of([text.encode()]))
+        assert ids.tolist() == library.encode_ordinary(text)
+    assert len(calls) == 1 + len(texts)
+
+
 def test_round_trip(docs, rows, library):
     got = {r.doc_id: r for r in decode(encode(docs, PATH), PATH).collect()}
     for i, text, *_ in rows:

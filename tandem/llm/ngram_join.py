@@ -14,9 +14,11 @@ Texts with A-Z in lower case are sets of word shingles.  Two link when ``100 * |
   first pairs its nodes with ``REPS`` of them only; pairs with enough matches are verified and give components.  Lists that still
   hold several components pair their nodes with two more: the node that is on most such lists (mostly the text that the others are
   edits of), and that of another component; and again, while this joins components.  Then pairs of one list whose nodes are
-  still in *different* components are made, counted over their lists, held against the matches that a link takes,
-  verified, and joined to the components.  A pair within a component needs no check: a link inside it changes nothing.  So no
-  link is lost, while a group of n near copies costs n pairs and not n * n.
+  still in *different* components are counted over their lists inside tasks and held against the matches that a link takes.
+  Only nodes that have such a pair leave these tasks, with their lists; they are cut in blocks of about ``MEET``, each two
+  blocks of a group meet in a task with their sets, and there the pairs are verified.  Only links leave it, so no pair becomes a
+  row.  A pair within a component needs no check: a link inside it changes nothing.  So no link is lost, while a group of
+  n near copies costs n pairs and not n * n.
 * **Verification.**  A representative's text goes to a task once, followed by those it is held against (:mod:`tandem.llm.verify`).
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.llm import kernels as K
-from tandem.llm.common import WORD, alone, one_per_id, record, written
+from tandem.llm.common import WORD, alone, arrow_map, one_per_id, record, written
 from tandem.llm.components import connected_components
 from tandem.llm.verify import verified
 
@@ -49,6 +51,8 @@ VERIFY = 16
 REPS = 8
 #: Rounds of further representatives at most; what they leave is counted pair by pair.
 ROUNDS = 3
+#: Nodes of a block, when those that are still in different components are held against one another.
+MEET = 512
 #: Sets that a task remembers having posted.
 SEEN = 1 << 18
 
@@ -215,48 +219,105 @@ def _enough(percent: int, ma: np.ndarray, mb: np.ndarray) -> np.ndarray:
 
 
 def _across(percent: int):
-    """(lo, h, key, meta, comp, rest) sorted by lo to pairs of nodes that share lists but no component, with counts.
+    """(lo, h, key, meta, comp, rest) sorted by lo to the nodes, with their lists, that share enough of them with one of another component.
 
     Lists with the same least component ``lo`` come together, as those of one group do.  For one node after another the nodes
     of its lists are counted, so a task holds a group's lists and one row of counts, never its pairs.  ``rest`` is how many lists
-    a node has elsewhere: a pair that can't reach what a link takes even with those is given out by no task.
+    a node has elsewhere: a pair that can't reach what a link takes even with those doesn't count.
     """
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to = pa.schema([(c, pa.int64()) for c in ("key", "rep", "meta", "rep_meta", "c")])
+        to = pa.schema([*((c, pa.int64()) for c in ("lo", "key", "meta", "comp", "rest")), ("lists", pa.binary())])
         for lo, h, key, meta, comp, rest in _lists(batches):
             for x, y in zip(*(v.tolist() for v in _bounds(lo)), strict=True):
                 nodes, first, node = np.unique(key[x:y], return_index=True, return_inverse=True)
                 m, of, elsewhere = meta[x:y][first], comp[x:y][first], rest[x:y][first]
-                size = m // 16
-                order = np.argsort(h[x:y], kind="stable")
-                member, (at, length) = node[order], _runs(h[x:y][order])
-                own_list = np.repeat(np.arange(len(at)), length)
-                list_first = np.append(at, len(member))
-                by_node = np.argsort(member, kind="stable")
-                node_first = np.searchsorted(member[by_node], np.arange(len(nodes) + 1))
-                found: list[tuple[np.ndarray, ...]] = []
-                held = 0
+                lists = _Lists(h[x:y], node, len(nodes))
+                near = np.zeros(len(nodes), dtype=bool)
                 for a in range(len(nodes)):
-                    lists = own_list[by_node[node_first[a] : node_first[a + 1]]]
-                    places, _ = K.ragged(list_first, lists)
-                    c = np.bincount(member[places], minlength=len(nodes))
-                    b = np.flatnonzero((c > 0) & (of != of[a]))
-                    b = b[b > a]
-                    b = b[100 * np.minimum(size[b], size[a]) >= percent * np.maximum(size[b], size[a])]
-                    b = b[c[b] + np.minimum(elsewhere[b], elsewhere[a]) >= _enough(percent, np.full(len(b), m[a]), m[b])]
-                    if len(b):
-                        found.append((np.full(len(b), nodes[a]), nodes[b], np.full(len(b), m[a]), m[b], c[b]))
-                        held += len(b)
-                    if held > 1 << 18:
-                        yield record(dict(zip(to.names, map(np.concatenate, zip(*found, strict=True)), strict=True)), to)
-                        found, held = [], 0
-                if found:
-                    yield record(dict(zip(to.names, map(np.concatenate, zip(*found, strict=True)), strict=True)), to)
+                    b = lists.enough(percent, a, m, elsewhere, of != of[a])
+                    near[b[b > a]] = True
+                    near[a] |= bool(len(b))
+                at = np.flatnonzero(near)
+                if len(at):
+                    yield record({"lo": np.full(len(at), lo[x]), "key": nodes[at], "meta": m[at], "comp": of[at], "rest": elsewhere[at], "lists": [lists.of(a).tobytes() for a in at]}, to)
 
     return across
 
 
+class _Lists:
+    """Which nodes are on which lists: a list ``h`` and the number of a node for each place."""
+
+    def __init__(self, h: np.ndarray, node: np.ndarray, n: int):
+        self.n = n
+        by_node = np.argsort(node, kind="stable")
+        self.name, code = np.unique(h, return_inverse=True)
+        self.lists, self.first = code[by_node], np.searchsorted(node[by_node], np.arange(n + 1))
+        by_list = np.argsort(code, kind="stable")
+        self.member, self.list_first = node[by_list], np.searchsorted(code[by_list], np.arange(len(self.name) + 1))
+
+    def of(self, a: int) -> np.ndarray:
+        return self.name[self.lists[self.first[a] : self.first[a + 1]]]
+
+    def enough(self, percent: int, a: int, meta: np.ndarray, elsewhere: np.ndarray, among: np.ndarray) -> np.ndarray:
+        """The nodes ``among`` which a link with ``a`` isn't ruled out by sizes or by the lists that both share."""
+        places, _ = K.ragged(self.list_first, self.lists[self.first[a] : self.first[a + 1]])
+        c = np.bincount(self.member[places], minlength=self.n)
+        b = np.flatnonzero((c > 0) & among)
+        x, y = meta[b] // 16, meta[a] // 16
+        b = b[100 * np.minimum(x, y) >= percent * np.maximum(x, y)]
+        return b[c[b] + np.minimum(elsewhere[b], elsewhere[a]) >= _enough(percent, np.full(len(b), meta[a]), meta[b])]
+
+
+def _own_set(k: int):
+    """(key, text) to (key, own): the set as bytes of its hashes."""
+
+    def own_set(batch: pa.RecordBatch) -> Iterator[dict]:
+        for rows, texts in K.blocks(batch, limit=TAKE):
+            h, first = K.shingles(K.lower(texts), k)
+            yield {"key": rows.column("key"), "own": [h[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]}
+
+    return own_set
+
+
+def _meet(percent: int):
+    """Sorted (g, side, key, meta, comp, rest, lists, own) to the links (u, v) that join components of a group g, between its two sides or
+    inside its one."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(__name__)
+        to = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+        for g, side, *columns in _lists(batches):
+            for x, y in zip(*(v.tolist() for v in _bounds(g)), strict=True):
+                key, meta, comp, rest, lists, own = (c[x:y] for c in columns)
+                n, two = y - x, bool(side[x:y].any())
+                lists = _Lists(np.frombuffer(b"".join(lists), np.int64), np.repeat(np.arange(n), [len(v) // 8 for v in lists]), n)
+                first = np.concatenate([[0], np.cumsum([len(v) // 8 for v in own])])
+                names, shingle = np.unique(np.frombuffer(b"".join(own), K.U64), return_inverse=True)
+                size, of, mark = np.diff(first), comp.copy(), np.zeros(len(names), dtype=bool)
+                other = side[x:y] == 1 if two else np.ones(n, dtype=bool)
+                u, v = [], []
+                for a in np.flatnonzero(side[x:y] == 0).tolist():
+                    b = lists.enough(percent, a, meta, rest, other & (of != of[a]))
+                    b = b if two else b[b > a]
+                    if not len(b):
+                        continue
+                    mine = shingle[first[a] : first[a + 1]]
+                    mark[mine] = True
+                    at, cut = K.ragged(first, b)
+                    same = np.add.reduceat(mark[shingle[at]].astype(np.int64), cut[:-1])
+                    mark[mine] = False
+                    for j in b[100 * same >= percent * (size[a] + size[b] - same)].tolist():
+                        if of[j] != of[a]:
+                            of[of == of[j]] = of[a]
+                            u.append(int(key[a]))
+                            v.append(int(key[j]))
+                if u:
+                    yield record({"u": np.array(u), "v": np.array(v)}, to)
+
+    return meet
+
+
 def _bounds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at, size = _runs(x)
     return at, at + size
@@ -340,9 +401,17 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     total = here.groupBy("key").agg(F.sum("here").alias("total"))
     rest = here.join(total, "key").select("lo", "key", (F.col("total") - F.col("here")).alias("rest"))
     dealt = open_lists.join(rest, ["lo", "key"]).repartition("lo").select("lo", "h", "key", "meta", "comp", "rest").sortWithinPartitions("lo")
-    far = written(matched(dealt.mapInArrow(_across(percent), "key long, rep long, meta long, rep_meta long, c long")).join(tried, ["key", "rep"], "left_anti"))
+    apart = written(dealt.mapInArrow(_across(percent), "lo long, key long, meta long, comp long, rest long, lists binary"))
+    texts = own.join(nodes.join(apart.select("key").distinct(), "key"), "doc_id").select("key", "text")
+    whole = arrow_map(texts, _own_set(k), "key long, own binary")
+    blocks = F.ceil(F.col("n") / MEET).cast("int")
+    placed = apart.join(apart.groupBy("lo").agg(F.count(F.lit(1)).alias("n")), "lo").withColumn("i", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    met_in = placed.withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1))).join(whole, "key")
+    group = F.xxhash64("lo", F.least("i", "j"), F.greatest("i", "j")).alias("g")
+    rows = met_in.select(group, F.when(F.col("i") > F.col("j"), 1).otherwise(0).alias("side"), "key", "meta", "comp", "rest", "lists", "own")
+    far = written(rows.repartition("g").sortWithinPartitions("g").mapInArrow(_meet(percent), "u long, v long"))
     if far.limit(1).count():
-        label = labels(near.unionByName(links(far)))
+        label = labels(near.unionByName(far))
     members = sets.where("n > 0").join(label, "key", "left").select("doc_id", "n", F.coalesce("component", "key").alias("comp"))
     least = members.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return (

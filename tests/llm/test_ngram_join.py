@@ -1,7 +1,9 @@
 import re
 
+import pyarrow as pa
 import pytest
 
+from tandem.llm import ngram_join
 from tandem.llm.ngram_join import ngram_components, one_per_component
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -46,6 +48,25 @@ def test_links_across_a_chain(spark):
     assert got == brute(rows)
 
 
+def test_pairs_across_components_are_no_rows():
+    """Of 100 nodes that share enough lists and no component a row each leaves the task, not one a pair."""
+    places = sorted((h, key) for h in range(50) for key in range(100))
+    columns = {"lo": [0] * len(places), "h": [h for h, _ in places], "key": [k for _, k in places], "meta": [100 * 16 + 1] * len(places), "comp": [k for _, k in places], "rest": [0] * len(places)}
+    batch = pa.record_batch({c: pa.array(v, pa.int64()) for c, v in columns.items()})
+    assert sum(len(b) for b in ngram_join._across(80)(iter([batch]))) == 100
+
+
+def test_blocks_lose_no_link(spark, monkeypatch):
+    """Links that representatives haven't found are found between blocks and inside them."""
+    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "MEET", 3, raising=False)
+    rows = [(i, " ".join(f"t{j}" for j in range(2 * i, 2 * i + 40))) for i in range(60)]
+    rows += [(100 + i, " ".join([f"s{j}" for j in range(60)] + [f"own{i}-{j}" for j in range(12 + i % 5)])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(df).collect()}
+    assert got == brute(rows)
+
+
 def test_one_stays(docs, rows):
     want = {c for _, c in brute([x[:2] for x in rows]).values()}
     out = one_per_component(docs)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.config import Config
@@ -27,10 +27,42 @@ def hard_filter(calls: DataFrame, c: Config = Config()) -> DataFrame:
     return calls.withColumn("outlier_reasons", hard_reasons(c))
 
 
+def _between(low: Column, high: Column, part: Column) -> Column:
+    """``low * (1 - part) + high * part`` for a part of quarters, rounded as the fused multiply-add ``fma(low, 1 - part, high * part)``.
+
+    Measured values sit exactly on limits, so the last bit decides, and DuckDB's quantiles are fused.  Halves are exact and with three
+    quarters only ``high * part`` is rounded, so only one quarter takes the error of ``0.75 * low`` along.
+    """
+    p, q = 0.75 * low, 0.25 * high
+    missed = (0.5 * low - p) + 0.25 * low  # 0.75 * low less p, exact
+    s = p + q
+    lost = (p - (s - (s - p))) + (q - (s - p))  # p + q less s, exact
+    return F.when(part == 0, low).when(part == 0.25, s + (lost + missed)).otherwise((1 - part) * low + part * high)
+
+
+def quartiles(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(locus_id, <name>) with the three interpolated quartiles of each column as an array.
+
+    Equal values are counted first, with partial sums, so neither a locus's reads nor its values lie in one row.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(c).cast("double").alias("x")) for i, c in enumerate(names)])).alias("e")
+    seen = rows.select("locus_id", each).select("locus_id", "e.m", "e.x").where(F.col("x").isNotNull()).groupBy("locus_id", "m", "x").agg(F.count(F.lit(1)).alias("c"))
+    own = Window.partitionBy("locus_id", "m")
+    up_to = F.sum("c").over(own.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    placed = seen.select("locus_id", "m", "x", up_to.alias("up_to"), F.sum("c").over(own).alias("n"))
+    ends, found = [], []
+    for i, q in enumerate((0.25, 0.5, 0.75)):
+        at = (F.col("n") - 1) * q
+        ends += [F.min(F.when(F.col("up_to") > F.floor(at), F.col("x"))).alias(f"low{i}"), F.min(F.when(F.col("up_to") > F.ceil(at), F.col("x"))).alias(f"high{i}")]
+        found.append(_between(F.col(f"low{i}"), F.col(f"high{i}"), at - F.floor(at)))
+    each = placed.groupBy("locus_id", "m").agg(F.max("n").alias("n"), *ends).select("locus_id", "m", F.array(*found).alias("q"))
+    return each.groupBy("locus_id").agg(*[F.max(F.when(F.col("m") == i, F.col("q"))).alias(c) for i, c in enumerate(names)])
+
+
 def thresholds(good: DataFrame) -> DataFrame:
     """(locus_id, n_good, <metric>_low, <metric>_high): median -/+ 1.5 times the interquartile range, of reads that passed."""
-    quartiles = [F.percentile(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(m) for m, _, _ in METRICS]
-    g = good.groupBy("locus_id").agg(F.count(F.lit(1)).alias("n_good"), *quartiles)
+    names = [m for m, _, _ in METRICS]
+    g = good.groupBy("locus_id").agg(F.count(F.lit(1)).alias("n_good")).join(quartiles(good, names), "locus_id", "left")
     limits = []
     for m, _, _ in METRICS:
         spread = 1.5 * (F.col(m)[2] - F.col(m)[0])

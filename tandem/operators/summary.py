@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tandem.functions import alignment
+from tandem.functions import columns as C
+from tandem.shipping import ship
+from tandem.tables import written
+
 TYPE_ORDER = ("left_flanking", "spanning", "right_flanking")
 
 
@@ -112,17 +118,31 @@ def significant_parameters(parameters: DataFrame, tests: DataFrame) -> DataFrame
     return p.withColumn("wide", F.coalesce((F.col("mean_upper") - F.col("mean_lower")) > 2, F.lit(False)))
 
 
+def distances(pairs: DataFrame, *key: str) -> DataFrame:
+    """``pairs`` (key, first, second, ...) with ``distance`` in place of the two texts, null where one is.
+
+    A pair costs the product of its lengths, so pairs are dealt by ``key`` to an explicit number of tasks, however few bytes they are.
+    """
+    ship(pairs.sparkSession)
+
+    @F.pandas_udf("int")
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else alignment.distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+    dealt = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    return dealt.withColumn("distance", distance("first", "second")).drop("first", "second")
+
+
 def nearest(reads: DataFrame, centres: DataFrame, on: str = "locus_id") -> DataFrame:
     """Flanking reads (on, query_name, alignment_type, sequence) with the haplotype of the nearest consensus (on, haplotype, kind, consensus).
 
     Distance is the edit distance of the parts that both cover; two flanking sequences of different sides can't be compared.  Ties
-    go to the first haplotype by name; ``none`` where nothing compares.  A locus has two haplotypes at most.
+    go to the first haplotype by name; ``none`` where nothing compares.  A locus has two haplotypes at most; the consensus sequences
+    are written first, so that the plan knows whether they are few enough to go to every task.
     """
-    from tandem.functions import columns as C
-
-    both = reads.join(centres, on, "left")
+    both = reads.join(written(centres), on, "left")
     a, b = C.compare_pair(F.col("sequence"), F.col("alignment_type"), F.col("consensus"), F.col("kind"))
     comparable = (F.col("alignment_type") == "spanning") | (F.col("kind") == "spanning") | (F.col("alignment_type") == F.col("kind"))
-    d = both.withColumn("distance", F.when(comparable, F.levenshtein(a, b)))
+    d = distances(both.select(on, "query_name", "haplotype", F.when(comparable, a).alias("first"), b.alias("second")), on, "query_name")
     least = F.min(F.when(F.col("distance").isNotNull(), F.struct("distance", "haplotype")))
     return d.groupBy(on, "query_name").agg(least.alias("m")).select(on, "query_name", F.coalesce("m.haplotype", F.lit("none")).alias("haplotype"), "m.distance")

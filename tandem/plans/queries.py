@@ -421,9 +421,11 @@ def _flank_trim(s, first, second):
     kinds = F.array(*[F.lit(x) for x in ("left_flanking", "spanning", "right_flanking")])
     a = s.select(F.col("query_name").alias("a"), first.alias("sa"))
     b = s.select((F.col("query_name") - 1).alias("a"), F.col("query_name").alias("b"), second.alias("sb"))
-    p = a.join(b, "a").withColumn("ka", F.get(kinds, (F.col("a") % 3).cast("int"))).withColumn("kb", F.get(kinds, (F.floor(F.col("a") / 3) % 3).cast("int")))
+    n = int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # explicit, so that tasks aren't merged by their bytes
+    p = a.repartition(n, "a").join(b.repartition(n, "a"), "a").withColumn("ka", F.get(kinds, (F.col("a") % 3).cast("int"))).withColumn("kb", F.get(kinds, (F.floor(F.col("a") / 3) % 3).cast("int")))
     ta, tb = C.compare_pair(F.col("sa"), F.col("ka"), F.col("sb"), F.col("kb"))
-    return p.select("a", "b", ta.alias("ta"), tb.alias("tb")).select("a", "b", F.length("ta").alias("len_a"), F.length("tb").alias("len_b"), F.levenshtein("ta", "tb").alias("distance"))
+    cut = p.select("a", "b", ta.alias("first"), tb.alias("second")).withColumns({"len_a": F.length("first"), "len_b": F.length("second")})
+    return summary.distances(cut, "a").select("a", "b", "len_a", "len_b", "distance")
 
 
 @query(f"""with {V.V_SEQUENCES}, c as (select locus_id, 'h' || row_number() over (partition by locus_id order by query_name) as haplotype, sequence as consensus, 'spanning' as kind

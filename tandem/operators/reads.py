@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tandem.config import Config
 from tandem.functions import columns as C
+from tandem.functions import kmers
+from tandem.shipping import ship
 
 SECONDARY, SUPPLEMENTARY = 0x100, 0x800
 #: Width of the bins in which intervals meet; the least bin of a BAM index.
@@ -77,17 +79,17 @@ def kmer_error_rate(reads: DataFrame, k: int = Config.error_kmer) -> DataFrame:
 
     The share of a read's k-mers that no other read of its locus has, by k and its length.  A k-mer is another's if two reads have
     it, so one count of reads a k-mer does what comparing all pairs of reads would do.  0 for an empty read or the only one.
-    A k-mer and its locus are one 64-bit hash, a read another; a k-mer's least and greatest read and its number of places are summed
-    before the one shuffle by k-mer, and where least and greatest are the same no other read has it.
+    Tasks name the distinct k-mers of many reads together (:mod:`tandem.functions.kmers`) and these sets, not the places, go through the
+    one shuffle, packed.  A locus and a read are a 64-bit hash each, and so is a k-mer with its locus where they meet.
     """
+    ship(reads.sparkSession)
     own = reads.select("locus_id", "query_name", "sequence", F.xxhash64("locus_id", "query_name").alias("__read"))
     n = own.select("locus_id", "query_name", "__read", F.length("sequence").alias("length"))
     others = own.groupBy("locus_id").agg(F.count(F.lit(1)).alias("reads"))
-    whole = own.where(F.length("sequence") >= k).select("locus_id", "__read", F.col("sequence").cast("binary").alias("__b"))
-    at = whole.select("locus_id", "__read", "__b", F.explode(F.sequence(F.lit(1), F.length("__b") - k + 1)).alias("__at"))
-    parts = at.select("__read", F.xxhash64("locus_id", F.substring("__b", F.col("__at"), F.lit(k))).alias("kmer"))
-    seen = parts.groupBy("kmer").agg(F.min("__read").alias("__read"), F.max("__read").alias("last"), F.count(F.lit(1)).alias("times"))
-    wrong = seen.where(F.col("__read") == F.col("last")).groupBy("__read").agg(F.sum("times").alias("wrong"))
+    whole = own.where(F.length("sequence") >= k).select(F.xxhash64("locus_id").alias("locus"), "__read", F.col("sequence").cast("binary").alias("text"))
+    dealt = whole.mapInArrow(kmers.packed(k), kmers.PACKED_DDL).repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket")
+    parts = dealt.sortWithinPartitions("bucket").mapInArrow(kmers.alone, "__read long, wrong long")
+    wrong = parts.groupBy("__read").agg(F.sum("wrong").alias("wrong"))
     out = n.join(others, "locus_id").join(wrong, "__read", "left")
     rate = F.when((F.col("length") == 0) | (F.col("reads") < 2), F.lit(0.0)).otherwise(F.coalesce("wrong", F.lit(0)) / k / F.col("length"))
     return out.select("locus_id", "query_name", rate.alias("str_error_rate"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,24 +29,46 @@ def _fit(fit: Fit | None, i: int, units: int) -> dict:
     return {"mean": fit.means[i].astype(float).tolist(), "mean_lower": low.tolist(), "mean_upper": high.tolist()}
 
 
-def _locus(config: Config):
+def _result(observed: list[dict], ploidy: int, config: Config) -> dict:
+    """All that a locus's observations give; every column but its name."""
     names = list(KINDS)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        units = len(group["kmer_count"].iloc[0])
-        o = Observations(np.array(group["kmer_count"].tolist()), group["alignment_type"].map(KINDS).to_numpy(), group["n"].to_numpy(), config)
-        g = genotype(o, int(group["ploidy"].iloc[0]))
-        labels = [
-            {"alignment_type": names[int(k)], "kmer_count": [int(x) for x in c], "haplotype": h, "reasons": r, "removed": gone}
-            for k, c, h, r, gone in zip(g.kind, g.counts, g.haplotype, g.reasons, g.removed, strict=True)
-        ]
-        return pd.DataFrame([{
-            "locus_id": group["locus_id"].iloc[0], "ploidy": int(group["ploidy"].iloc[0]), "n_reads": len(o), "labels": labels,
-            "h1": _fit(g.het, 0, units), "h2": _fit(g.het, 1, units), "het_unit_var": (g.het.unit_var if g.het else np.full(units, np.nan)).tolist(),
-            "hom": _fit(g.hom, 0, units), "hom_unit_var": g.hom.unit_var.tolist(),
-            "log_lik_hom": g.log_lik_hom, "log_lik_hetero": g.log_lik_het, "n_par_hom": g.n_par_hom, "n_par_hetero": g.n_par_het,
-            "statistic": g.statistic, "df": g.df, "p_value": g.p_value, "is_significant": g.is_significant,
-        }])
+    units = len(observed[0]["kmer_count"])
+    o = Observations(np.array([list(x["kmer_count"]) for x in observed]), np.array([KINDS[x["alignment_type"]] for x in observed]), np.array([x["n"] for x in observed]), config)
+    g = genotype(o, ploidy)
+    labels = [
+        {"alignment_type": names[int(k)], "kmer_count": [int(x) for x in c], "haplotype": h, "reasons": r, "removed": gone}
+        for k, c, h, r, gone in zip(g.kind, g.counts, g.haplotype, g.reasons, g.removed, strict=True)
+    ]
+    return {
+        "ploidy": ploidy, "n_reads": len(o), "labels": labels,
+        "h1": _fit(g.het, 0, units), "h2": _fit(g.het, 1, units), "het_unit_var": (g.het.unit_var if g.het else np.full(units, np.nan)).tolist(),
+        "hom": _fit(g.hom, 0, units), "hom_unit_var": g.hom.unit_var.tolist(),
+        "log_lik_hom": g.log_lik_hom, "log_lik_hetero": g.log_lik_het, "n_par_hom": g.n_par_hom, "n_par_hetero": g.n_par_het,
+        "statistic": g.statistic, "df": g.df, "p_value": g.p_value, "is_significant": g.is_significant,
+    }
+
+
+#: Loci of one table that a task gives out.
+ROWS = 256
+
+
+def _loci(config: Config):
+    """(locus_id, ploidy, observed) to results; loci of equal observations, which come one after the other, are fitted once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, known = None, {}
+        for batch in batches:
+            out = []
+            for name, ploidy, observed in zip(batch.locus_id, batch.ploidy, batch.observed, strict=True):
+                key = (int(ploidy), tuple((x["alignment_type"], tuple(x["kmer_count"]), x["n"]) for x in observed))
+                if key != last:
+                    last, known = key, _result(list(observed), int(ploidy), config)
+                out.append({"locus_id": name, **known})
+                if len(out) == ROWS:
+                    yield pd.DataFrame(out)
+                    out = []
+            if out:
+                yield pd.DataFrame(out)
 
     return run
 
@@ -60,15 +84,21 @@ def genotype_loci(calls: DataFrame, ploidy: DataFrame | None = None, config: Con
 
 
 def genotype_counts(seen: DataFrame, ploidy: DataFrame | None = None, config: Config = Config()) -> DataFrame:
-    """:func:`genotype_loci` of reads that are counted already: (locus_id, alignment_type, kmer_count, n), a row each distinct one."""
+    """:func:`genotype_loci` of reads that are counted already: (locus_id, alignment_type, kmer_count, n), a row each distinct one.
+
+    A result depends on a locus's observations only, so loci are dealt by these and equal ones are fitted once.
+    """
     ship(seen.sparkSession)
+    seen = seen.select("locus_id", "alignment_type", "kmer_count", "n")
     if ploidy is None:
         seen = seen.withColumn("ploidy", F.lit(2))
     else:
         seen = seen.join(ploidy.select(F.col("locus_id").cast("string").alias("locus_id"), "ploidy"), "locus_id").where("ploidy > 0")
+    each = F.sort_array(F.collect_list(F.struct("alignment_type", "kmer_count", "n"))).alias("observed")
+    loci = seen.groupBy("locus_id", "ploidy").agg(each).withColumn("same", F.xxhash64("ploidy", "observed"))
     # the rows are few and each is much work: an explicit number of partitions isn't merged by their bytes
-    dealt = seen.repartition(int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions")), "locus_id")
-    return dealt.groupBy("locus_id").applyInPandas(_locus(config), SCHEMA)
+    dealt = loci.repartition(int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions")), "same").sortWithinPartitions("same")
+    return dealt.select("locus_id", "ploidy", "observed").mapInPandas(_loci(config), SCHEMA)
 
 
 def label_reads(calls: DataFrame, loci: DataFrame) -> DataFrame:

@@ -69,12 +69,22 @@ def bucket_others(kmers: DataFrame, top: DataFrame, column: str = "kmer") -> Dat
     return out.withColumn("label", F.coalesce("__top", F.lit("Other"))).drop("__top")
 
 
+#: Tasks by the hash of a locus for each of the session's shuffle partitions.
+PARTS = 8
+
+
 def length_histogram(counts: DataFrame) -> DataFrame:
-    """(locus_id, haplotype, bin, n) of (locus_id, haplotype, count): bins as wide as a hundredth of the locus's longest count."""
-    longest = counts.groupBy("locus_id").agg(F.max("count").alias("longest"))
+    """(locus_id, haplotype, bin, n) of (locus_id, haplotype, count): bins as wide as a hundredth of the locus's longest count.
+
+    Equal counts are added up with partial sums, so a locus deals out its distinct counts, not its rows; the longest count is a window
+    over these, so nothing is joined.  Windows are sorted, not held, in an explicit number of tasks that aren't merged by bytes.
+    """
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")) * PARTS
+    seen = counts.groupBy("locus_id", "haplotype", "count").agg(F.count(F.lit(1)).alias("n")).repartition(n, "locus_id")
+    longest = F.max("count").over(Window.partitionBy("locus_id"))
     width = F.ceil(F.greatest(F.col("longest"), F.lit(1)) / F.least(F.lit(100), F.greatest(F.col("longest"), F.lit(1))))
-    binned = counts.join(longest, "locus_id").withColumn("bin", (F.floor(F.col("count") / width) * width).cast("long"))
-    return binned.groupBy("locus_id", "haplotype", "bin").agg(F.count(F.lit(1)).alias("n"))
+    binned = seen.withColumn("longest", longest).withColumn("bin", (F.floor(F.col("count") / width) * width).cast("long"))
+    return binned.groupBy("locus_id", "haplotype", "bin").agg(F.sum("n").alias("n"))
 
 
 def normalised_density(density: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tandem.shipping import ship
 from tandem.tables import shared_dir, written
 
-__all__ = ["WORD", "alone", "arrow_map", "held", "int_lists", "let_go", "list_values", "one_per_id", "record", "shared_dir", "written"]
+__all__ = ["WORD", "alone", "arrow_map", "held", "int_lists", "let_go", "likely", "list_values", "one_per_id", "record", "shared_dir", "written"]
 
 #: The separators of words, for Java's and DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,6 +33,23 @@ def one_per_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return own.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else own
 
 
+#: Bits by which rows are told apart before a join; 4 MB go to every task.
+BITS = 1 << 25
+
+
+def likely(rows: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``rows`` with a ``key`` that ``wanted`` has, and a few others: the bits of a hash, of a size that doesn't grow, go to every task.
+
+    A join on ``key`` afterwards decides; it deals out the texts that may be wanted and not all.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(BITS)) + 1
+    bits = wanted.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("__bits"))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    has = F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1
+    return rows.join(F.broadcast(bits), (F.bitmap_bucket_number(slot) == F.col("__part")) & has, "left_semi")
+
+
 _held: dict[Any, Any] = {}
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.llm import kernels as K
-from tandem.llm.common import WORD, alone, arrow_map, one_per_id, record, written
+from tandem.llm.common import WORD, alone, arrow_map, likely, one_per_id, record, written
 from tandem.llm.components import connected_components
 from tandem.llm.verify import verified
 
@@ -368,7 +368,8 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs (key, rep) that link; only texts of documents in them are dealt out."""
         ends = pairs.select("key").unionByName(pairs.select(F.col("rep").alias("key"))).distinct()
-        texts = written(own.join(nodes.join(ends, "key"), "doc_id").select("key", "text"))
+        wanted = written(nodes.join(ends, "key"))
+        texts = written(likely(own, wanted).join(wanted, "doc_id").select("key", "text"))
         return verified(pairs.select(F.col("key").alias("u"), F.col("rep").alias("v")), texts, lambda t: K.shingles(K.lower(t), k), percent)
 
     def labels(near: DataFrame) -> DataFrame:
@@ -402,7 +403,8 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     rest = here.join(total, "key").select("lo", "key", (F.col("total") - F.col("here")).alias("rest"))
     dealt = open_lists.join(rest, ["lo", "key"]).repartition("lo").select("lo", "h", "key", "meta", "comp", "rest").sortWithinPartitions("lo")
     apart = written(dealt.mapInArrow(_across(percent), "lo long, key long, meta long, comp long, rest long, lists binary"))
-    texts = own.join(nodes.join(apart.select("key").distinct(), "key"), "doc_id").select("key", "text")
+    wanted = written(nodes.join(apart.select("key").distinct(), "key"))
+    texts = likely(own, wanted).join(wanted, "doc_id").select("key", "text")
     whole = arrow_map(texts, _own_set(k), "key long, own binary")
     blocks = F.ceil(F.col("n") / MEET).cast("int")
     placed = apart.join(apart.groupBy("lo").agg(F.count(F.lit(1)).alias("n")), "lo").withColumn("i", F.pmod(F.xxhash64("key"), blocks).cast("int"))
